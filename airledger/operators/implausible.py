@@ -43,11 +43,14 @@ def closing(x: np.ndarray, width: int) -> np.ndarray:
 
 def seasonal_profile(x: np.ndarray, hour: np.ndarray, day: np.ndarray, least_days: int = 3) -> np.ndarray:
     """Median by hour of day less the median of all, 0 for hours seen on fewer days."""
-    out, level = np.zeros(24), np.median(x)
-    for h in np.unique(hour):
-        rows = hour == h
-        if len(np.unique(day[rows])) >= least_days:
-            out[h] = np.median(x[rows]) - level
+    order = np.lexsort((x, hour))
+    size = np.bincount(hour, minlength=24)
+    begin = np.cumsum(size) - size
+    seen = np.bincount(np.unique(hour * (1 << 40) + (day - day.min())) >> 40, minlength=24)
+    some = np.flatnonzero((size > 0) & (seen >= least_days))
+    out = np.zeros(24)
+    ordered = x[order]
+    out[some] = (ordered[begin[some] + (size[some] - 1) // 2] + ordered[begin[some] + size[some] // 2]) / 2 - np.median(x)
     return out
 
 
