@@ -1,3 +1,10 @@
 """Leakage-aware evaluation analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions travel to the executors with their code, so that nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,7 +8,6 @@ table of their zone. Nothing is done row by row.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable
 
@@ -57,9 +56,21 @@ _EPOCHS = {10: 6, 13: 3, 16: 0, 19: -3}
 Fields = dict[str, tuple[int, int]]
 
 
-@functools.lru_cache(maxsize=65536)
+#: Parsers already made in this process, by mask; made anew when so many are kept.
+_KNOWN: dict[str, tuple[Fields, ...]] = {}
+_KEPT = 65536
+
+
 def plans_for(mask: str) -> tuple[Fields, ...]:
-    """The parsers of a mask: where each field stands. None for a mask that names no time."""
+    """The parsers of a mask, made once: where each field stands. None for a mask that names no time."""
+    if mask not in _KNOWN:
+        if len(_KNOWN) >= _KEPT:
+            _KNOWN.clear()
+        _KNOWN[mask] = _plans(mask)
+    return _KNOWN[mask]
+
+
+def _plans(mask: str) -> tuple[Fields, ...]:
     if set(mask) == {"9"} and len(mask) in _EPOCHS:
         return ({"epoch": (0, len(mask))},)
     if m := re.fullmatch(r"(9{10})[.,](9{1,12})", mask):

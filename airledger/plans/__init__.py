@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general
+from . import general, pictures, reference
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    return dict(general.QUERIES)
+    return general.QUERIES | reference.QUERIES | pictures.QUERIES
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return reference.SQL | pictures.SQL
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    return general.p1_found(spark, directory)
+    return reference.contaminated_vs_clean(spark, directory)
