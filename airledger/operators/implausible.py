@@ -127,11 +127,23 @@ def _stretches(one: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def _decomposed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The readings of a stretch that have a remainder or a run, and, with null times, how often
+    each change occurs in it (`height` holds the number)."""
     pdf = pdf.sort_values("pos")
     parts = decompose(pdf["t"].to_numpy(), pdf["x"].to_numpy(), pdf["place"].to_numpy())
     core = (pdf["own"] == pdf["stretch"]).to_numpy()
-    out = pd.DataFrame({"source": pdf["source"].to_numpy(), "t": pdf["t"].to_numpy(), **parts})
-    return out[core]
+    source = pdf["source"].iloc[0]
+    changes, often = np.unique(parts["change"][core & ~np.isnan(parts["change"])], return_counts=True)
+    told = core & (parts["stuck"] | (parts["remainder"] > 0))
+    n = int(told.sum())
+    return pd.DataFrame({
+        "source": pd.Series([source] * (len(changes) + n), dtype=pdf["source"].dtype),
+        "t": pd.array([None] * len(changes) + pdf["t"].to_numpy()[told].tolist(), dtype="Int64"),
+        "change": np.concatenate([changes, np.zeros(n)]),
+        "stuck": np.concatenate([np.zeros(len(changes), dtype=bool), parts["stuck"][told]]),
+        "height": np.concatenate([often.astype(float), parts["height"][told]]),
+        "remainder": np.concatenate([np.zeros(len(changes)), parts["remainder"][told]]),
+    })
 
 
 def _limits(n: Column, i: Column, alpha: float) -> Column:
@@ -146,9 +158,9 @@ def _limits(n: Column, i: Column, alpha: float) -> Column:
 def usual_change(parts: DataFrame) -> DataFrame:
     """(source, n, usual): readings and median change of each source, exactly.
 
-    Equal changes are counted before the shuffle; the median is read off the running counts.
+    Equal changes are counted in their stretch; the median is read off the running counts.
     """
-    counts = parts.where(F.col("change").isNotNull()).groupBy("source", "change").agg(F.count("*").alias("c"))
+    counts = parts.where(F.col("t").isNull()).groupBy("source", "change").agg(F.sum("height").cast("long").alias("c"))
     up = Window.partitionBy("source").orderBy("change").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.select("*", F.sum("c").over(up).alias("upto"), F.sum("c").over(Window.partitionBy("source")).alias("total"))
     low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
@@ -186,15 +198,15 @@ def implausible_readings(
     table gives no rows.
     """
     rows = df.select(F.col(source).alias("source"), F.col(time).alias("t"), F.col(value).alias("x"), F.col(delivery).alias("delivery")).where(is_number(F.col("x")))
+    rows = write_between(rows, "readings")
     ranged = rows.where(~F.col("x").between(low, high)).select("delivery", F.lit("range").alias("reason"))
 
-    one = one_per_instant(rows, "source", "t", "x", "delivery")
-    kind = dict(rows.dtypes)["source"]
+    one = write_between(one_per_instant(rows, "source", "t", "x", "delivery"), "instants")
+    kind = dict(one.dtypes)["source"]
     parts = (
         _stretches(one, low, high)
         .groupBy("source", "stretch")
         .applyInPandas(_decomposed, f"source {kind}, t long, change double, stuck boolean, height double, remainder double")
-        .withColumn("change", F.when(F.isnan("change"), None).otherwise(F.col("change")))
     )
     parts = write_between(parts, "remainders")
 
@@ -206,7 +218,7 @@ def implausible_readings(
         .withColumn("least", _limits(F.col("n"), most, alpha) * F.col("scale"))
         .select(F.col("source").alias("source_"), "n", "usual", "scale", "least")
     )
-    far = parts.where((F.col("remainder") > 0)).join(sources, F.col("source").eqNullSafe(F.col("source_"))).where(F.col("remainder") > F.col("least"))
+    far = parts.where(F.col("t").isNotNull() & (F.col("remainder") > 0)).join(sources, F.col("source").eqNullSafe(F.col("source_"))).where(F.col("remainder") > F.col("least"))
     order = Window.partitionBy("source").orderBy(F.desc("remainder"), "t")
     far = far.withColumn("step", F.row_number().over(order))
     far = far.withColumn("limit", _limits(F.col("n"), F.col("step"), alpha) * F.col("scale"))
