@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 64
+from ..operators.duplicates import near_values
 
 
 def canonical_hash(kind: str, value: Column) -> Column:
@@ -16,44 +14,6 @@ def canonical_hash(kind: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.xxhash64(F.lit(kind), text))
 
 
-def block_masks(blocks: int, distance: int) -> list[int]:
-    """Bit masks such that any two fingerprints within `distance` agree under one of them.
-
-    The bits are dealt to the blocks in turn, so that bits which hardly vary are spread over
-    all blocks; of `blocks` blocks at most `distance` differ, the others agree.
-    """
-    dealt = [sum(1 << b for b in range(k, BITS, blocks)) for k in range(blocks)]
-    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
-    return [signed(sum(dealt[k] for k in chosen)) for chosen in combinations(range(blocks), blocks - distance)]
-
-
-def blocks_for(n: int, distance: int) -> int:
-    """Blocks enough that random fingerprints rarely agree under a mask by chance.
-
-    More fingerprints need longer masks, of which there are more; any number is exact.
-    """
-    for blocks in range(distance + 1, distance + 6):
-        if 2 ** (BITS * (blocks - distance) / blocks * 0.85) >= n:
-            return blocks
-    return distance + 5
-
-
-def near_values(left: DataFrame, right: DataFrame, distance: int, n: int) -> DataFrame:
-    """(left_print, right_print): distinct fingerprints of the two sides (column `print`) that
-    differ in at most `distance` bits. Exact; each pair comes from the first mask it agrees under.
-    """
-    masks = block_masks(blocks_for(n, distance), distance)
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("print").bitwiseAND(F.lit(m).cast("long")).alias("under")) for i, m in enumerate(masks)))
-        return df.select(F.col("print").alias(name), F.explode(keys).alias("k")).select(name, F.col("k.mask").alias("mask"), F.col("k.under").alias("under"))
-
-    pairs = keyed(left, "left_print").join(keyed(right, "right_print"), ["mask", "under"])
-    differ = F.col("left_print").bitwiseXOR(F.col("right_print"))
-    first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(masks)))
-    return pairs.where((F.bit_count(differ) <= distance) & (first == F.col("mask"))).select("left_print", "right_print")
-
-
 def _keys(records: DataFrame) -> DataFrame:
     """(row, kind, hash, value) of each record's image and group."""
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), canonical_hash(k, F.col(k)).alias("hash"), F.col(k).cast("long").alias("value")) for k in ("image_id", "dup_group")))

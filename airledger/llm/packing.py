@@ -75,28 +75,28 @@ def plan_containers(capacity: int, histogram: dict[int, int]) -> list[tuple[int,
     return plan
 
 
-class Places:
-    """Where the items of each size go: intervals of their numbers, by size."""
-
-    def __init__(self, plan: list[tuple[int, list[tuple[int, int]]]], first: int = 0):
-        rows, at, next_pack = [], {}, first
-        for repeats, filling in plan:
-            for size, n in filling:
-                start = at.get(size, 0)
-                rows.append((size, start, n, next_pack))
-                at[size] = start + n * repeats
-            next_pack += repeats
-        rows.sort()
-        self.key = np.array([(size, start) for size, start, _, _ in rows], dtype="i8,i8")
-        self.start, self.each, self.pack = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
-        self.packs = next_pack
-
-    def find(self, size: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Container of the `number`-th item (from 0) of a size."""
-        asked = np.empty(len(size), dtype="i8,i8")
-        asked["f0"], asked["f1"] = size, number
-        at = np.searchsorted(self.key, asked, side="right") - 1
-        return self.pack[at] + (number - self.start[at]) // self.each[at]
+def places_of(plan: list[tuple[int, list[tuple[int, int]]]]) -> tuple[np.ndarray, ...]:
+    """Where the items of each size go: (size and first number, first number, items of the size in
+    one container, first container) of the intervals of their numbers, in order."""
+    rows, at, next_pack = [], {}, 0
+    for repeats, filling in plan:
+        for size, n in filling:
+            start = at.get(size, 0)
+            rows.append((size, start, n, next_pack))
+            at[size] = start + n * repeats
+        next_pack += repeats
+    rows.sort()
+    key = np.array([(size, start) for size, start, _, _ in rows], dtype="i8,i8")
+    return key, *(np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
+
+
+def find_place(places: tuple[np.ndarray, ...], size: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Container of the `number`-th item (from 0) of a size."""
+    key, start, each, pack = places
+    asked = np.empty(len(size), dtype="i8,i8")
+    asked["f0"], asked["f1"] = size, number
+    at = np.searchsorted(key, asked, side="right") - 1
+    return pack[at] + (number - start[at]) // each[at]
 
 
 def pack_items(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
@@ -116,8 +116,8 @@ def pack_items(items: DataFrame, capacity: int, key: str = "doc_id", size: str =
     rest = sized.select("key", "whole", F.pmod("whole", F.lit(capacity)).alias("rest"))
     histogram = {r["rest"]: r["c"] for r in rest.groupBy("rest").agg(F.count("*").alias("c")).collect()}  # at most `capacity` rows
     plan = plan_containers(capacity, {s: c for s, c in histogram.items() if s})
-    places = Places(plan)
-    spread = spark.sparkContext.broadcast(places)
+    planned = sum(repeats for repeats, _ in plan)
+    spread = spark.sparkContext.broadcast(places_of(plan))
 
     numbered = rest.where("rest > 0").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
     groups = numbered.groupBy("rest", "bucket").agg(F.count("*").alias("c"))
@@ -128,7 +128,7 @@ def pack_items(items: DataFrame, capacity: int, key: str = "doc_id", size: str =
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pack = spread.value.find(b.column(2).to_numpy(), b.column(3).to_numpy())
+            pack = find_place(spread.value, b.column(2).to_numpy(), b.column(3).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(pack, pa.int64()), b.column(0), b.column(1), b.column(2)], names=["pack_id", "key", "whole", "rest"])
 
     placed = numbered.mapInArrow(place, f"pack_id long, key {kind}, whole long, rest long").select(
@@ -139,7 +139,7 @@ def pack_items(items: DataFrame, capacity: int, key: str = "doc_id", size: str =
     large = large.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
     offsets = large.groupBy("group").agg(F.sum("pieces").alias("p"))
     over_groups = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
-    offsets = offsets.select("group", (F.coalesce(F.sum("p").over(over_groups), F.lit(0)) + places.packs).alias("offset"))
+    offsets = offsets.select("group", (F.coalesce(F.sum("p").over(over_groups), F.lit(0)) + planned).alias("offset"))
     large = large.withColumn("inside", F.coalesce(F.sum("pieces").over(before), F.lit(0))).join(offsets, "group")
     full = large.select("key", (F.col("offset") + F.col("inside")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("part")).select(
         (F.col("first") + F.col("part")).alias("pack_id"), "key", "part", (F.col("part") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_tokens")

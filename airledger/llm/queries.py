@@ -27,10 +27,11 @@ def vocabulary(name: str) -> str:
 def day_summaries(spark: SparkSession, d: str) -> DataFrame:
     """A summary of `aqi` for each location and UTC day of `date` (null where it names none)."""
     places = read_table(spark, d, "locations")
+    home = places.select(F.col("location_id").alias("__home"), F.col("country").alias("__home_country"))
     timed = with_instant(read_table(spark, d, "hourly"), places)
-    home = places.select(F.col("location_id").alias("place"), F.col("country").alias("place_country"))
-    timed = timed.join(home, F.col("location_id") == F.col("place"), "left")
-    rows = timed.select(F.coalesce("place_country", F.upper("country")).alias("country"), "location_id", floor_div(F.col("utc_us"), DAY_US).alias("day"), "aqi")
+    timed = timed.join(home, timed["location_id"] == home["__home"], "left")
+    country = F.coalesce(F.col("__home_country"), F.upper(timed["country"]))
+    rows = timed.select(country.alias("country"), timed["location_id"].alias("location_id"), floor_div(F.col("utc_us"), DAY_US).alias("day"), timed["aqi"].alias("aqi"))
     return summarise(rows, ["country", "location_id", "day"], "aqi")
 
 

@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..operators.shares import fill_shares
 from ..session import write_between
 
-#: A component with this share of all records or more is placed one by one, the largest first;
-#: there can be no more than 1 / SHARE of them.
-SHARE = 0.001
-#: Groups in which the other components are counted along a fixed random order.
-BUCKETS = 4096
-
 #: Wide digits, by the digit.
 WIDE_DIGITS = "０１２３４５６７８９"
 SPLITS = ("train", "cal", "test")
@@ -97,52 +92,12 @@ def assign_components(sizes: DataFrame, shares: dict[str, float], links: DataFra
     known = write_between(known, "components")
     kept = known.where(F.col("low") == F.col("high")).select("component", "n", F.col("low").alias("split"), F.lit("kept").alias("status"))
     clash = known.where(F.col("low") != F.col("high")).select("component", "n", F.lit(None).cast("string").alias("split"), F.lit("quarantined").alias("status"))
-    new = _fill(known.where(F.col("low").isNull()).select("component", "n"), kept, shares)
+    held = {r["split"]: r["n"] for r in kept.groupBy("split").agg(F.sum("n").alias("n")).collect()}  # one row a split
+    new = fill_shares(known.where(F.col("low").isNull()).select("component", "n"), shares, held).withColumn("status", F.lit("new"))
     placed = kept.unionByName(clash).unionByName(new).drop("n")
     return Assignment(members.join(placed, "component").select("member", "component", "split", "status"))
 
 
-def _fill(new: DataFrame, kept: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """`new` with splits that bring each split's number of records to its share."""
-    names, whole = list(shares), sum(shares.values())
-    held = {r["split"]: r["n"] for r in kept.groupBy("split").agg(F.sum("n").alias("n")).collect()}  # one row a split
-    count = new.agg(F.sum("n")).first()[0] or 0
-    total = count + sum(held.values())
-    lacks = {s: shares[s] / whole * total - held.get(s, 0) for s in names}
-
-    cut = max(1, SHARE * total)
-    # at most 1 / SHARE rows: each holds that share of all records
-    large = new.where(F.col("n") > cut).orderBy(F.desc("n"), "component").collect()
-    chosen = {}
-    for row in large:
-        split = max(names, key=lambda s: lacks[s])
-        chosen[row["component"]] = split
-        lacks[split] -= row["n"]
-    rest = count - sum(r["n"] for r in large)
-    open_ = {s: max(0.0, lacks[s]) for s in names}
-    sum_open = sum(open_.values())
-    ends, at = [], 0.0
-    for s in names:
-        at += (open_[s] / sum_open if sum_open else shares[s] / whole) * rest
-        ends.append((s, at))
-
-    spark = new.sparkSession
-    small = new.where(F.col("n") <= cut).withColumn("key", F.md5(F.col("component").cast("string")))
-    small = small.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most BUCKETS rows
-    offsets = small.groupBy("bucket").agg(F.sum("n").alias("in_bucket")).select("bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("offset"))
-    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("key", "component").rowsBetween(Window.unboundedPreceding, 0))
-    middle = F.col("offset") + F.col("upto") - F.col("n") / 2
-    split = F.lit(ends[-1][0])
-    for s, end in reversed(ends[:-1]):
-        split = F.when(middle < end, s).otherwise(split)
-    filled = small.withColumn("upto", upto).join(offsets, "bucket").select("component", "n", split.alias("split"), F.lit("new").alias("status"))
-    if chosen:
-        rows = [(r["component"], r["n"], chosen[r["component"]], "new") for r in large]
-        filled = filled.unionByName(spark.createDataFrame(rows, "component string, n long, split string, status string"))
-    return filled
-
-
 def read_shares(shares: DataFrame) -> dict[str, float]:
     """The proportions, a row a split."""
     return {r["split"]: r["share"] for r in shares.select("split", "share").orderBy(F.desc("share"), "split").collect()}
