@@ -84,7 +84,7 @@ def apply_knots(point: Column, xs: list[float], ys: list[float]) -> Column:
     for a, b, c, d in zip(xs, xs[1:], ys, ys[1:]):
         if b > a:
             out = out.when(point <= b, F.lit(float(c)) + (point - a) * float((d - c) / (b - a)))
-    return F.greatest(out.otherwise(float(ys[-1])), F.lit(0.0))
+    return F.when(point.isNotNull() & ~F.isnan(point), F.greatest(out.otherwise(float(ys[-1])), F.lit(0.0)))
 
 
 def knots(fit: DataFrame, limit: int = 100_000) -> tuple[list[float], list[float]]:

@@ -20,14 +20,25 @@ def _jumped(parents: DataFrame) -> DataFrame:
     return parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"))
 
 
-def connected_components(links: DataFrame, jumps: int = 2, most_rounds: int = 60) -> DataFrame:
+def _shortened(parents: DataFrame) -> DataFrame:
+    """Every node pointing at the root of its tree: paths halve with each jump until none is left."""
+    while True:
+        parents = write_between(_jumped(_jumped(parents)), "parents")
+        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+        if parents.join(up, "parent").where("grand <> parent").isEmpty():
+            return parents
+
+
+def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node in `links` (columns a, b); component is the lowest node.
 
-    Each round hooks every node to its lowest neighbour, shortens the paths by pointer
-    jumping, and replaces the ends of the links by what they point to; links inside one tree
-    vanish, so the table shrinks to nothing in a number of rounds that grows with the
-    logarithm of the longest path. Every round is written to the shared folder. Links with a
-    null end, self-links and repeats count for nothing; an empty table gives none.
+    Each round hooks every node to its lowest neighbour, brings all paths to length one by
+    pointer jumping, and replaces the ends of the links by their roots; links inside one tree
+    vanish. A root that still has links is lower than all its neighbours and each neighbour
+    was hooked away, so at least half of the linked nodes go in a round: the rounds grow with
+    the logarithm of the nodes, the jumps with that of the longest path. Every step is
+    written to the shared folder. Links with a null end, self-links and repeats count for
+    nothing; an empty table gives none.
     """
     ordered = links.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     nodes = ordered.select(F.col("a").alias("node")).unionByName(ordered.select(F.col("b").alias("node"))).distinct()
@@ -36,10 +47,7 @@ def connected_components(links: DataFrame, jumps: int = 2, most_rounds: int = 60
     for _ in range(most_rounds):
         if left.isEmpty():
             return labels
-        parents = _hooked(left)
-        for _ in range(jumps):
-            parents = _jumped(parents)
-        parents = write_between(parents, "parents")
+        parents = _shortened(_hooked(left))
         a, b = (parents.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_to")) for c in ("a", "b"))
         moved = left.join(a, "a").join(b, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
         left = write_between(moved.where("a <> b").distinct(), "links")

@@ -19,6 +19,11 @@ def _r(x: Column, digits: int = SIX) -> Column:
     return F.round(x, digits)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's coefficient; null where a side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def point_scores(y: Column, p: Column) -> list[Column]:
     """n, mae, rmse, r2, r2_pearson, sd_y of points `p` for labels `y`; r2 is null where y is constant."""
     e = p - y
@@ -28,7 +33,7 @@ def point_scores(y: Column, p: Column) -> list[Column]:
         _r(F.avg(F.abs(e))).alias("mae"),
         _r(F.sqrt(F.avg(e * e))).alias("rmse"),
         _r(1 - F.try_divide(sse, F.when(sst > 0, sst))).alias("r2"),
-        _r(F.pow(F.corr(y, p), 2)).alias("r2_pearson"),
+        _r(F.pow(correlation(y, p), 2)).alias("r2_pearson"),
         _r(F.stddev_pop(y)).alias("sd_y"),
     ]
 
@@ -53,7 +58,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, pearson, spearman); equal values share their average rank. Rows with a null are left out."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
     ranked = with_average_rank(with_average_rank(both, "a", "ra"), "b", "rb")
-    return ranked.agg(F.count("*").alias("n"), _r(F.corr("a", "b")).alias("pearson"), _r(F.corr("ra", "rb")).alias("spearman"))
+    return ranked.agg(F.count("*").alias("n"), _r(correlation(F.col("a"), F.col("b"))).alias("pearson"), _r(correlation(F.col("ra"), F.col("rb"))).alias("spearman"))
 
 
 def error_by_band(df: DataFrame, y: str, p: str, edges: tuple[float, ...] = (0, 50, 100, 150, 200, 300, 10000)) -> DataFrame:
