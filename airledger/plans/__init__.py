@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general, pictures, reference
+from . import general, general_sql, pictures, reference
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,7 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_sql() -> dict[str, str]:
-    return reference.SQL | pictures.SQL
+    return general_sql.SQL | reference.SQL | pictures.SQL
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
