@@ -14,6 +14,7 @@ from .lookalikes import canonical_texts, lookalike_pairs
 from .overlap import cross_split_pairs, overlap_counts
 from .packing import pack_all
 from .percentiles import combine, percentiles, summarise
+from .sql import SQL  # noqa: F401
 from .splits import assign_components, present_table, read_shares, split_name, station_number
 from .tokenizer import VOCABULARIES, count_tokens, encode_column
 
@@ -123,4 +124,4 @@ QUERIES = {
     f.__name__: f
     for f in (p2_percentiles, p2_day_summaries, p3_found, p3_splits, p5_found, p5_counts, p7_ids, p8_packs, p9_found, p9_canonical)
 }
-SQL: dict[str, str] = {}
+
