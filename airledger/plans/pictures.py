@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import abstain
 from ..operators.pictures import five_channel_table, inverse_saturation, picture_features, picture_stats, transmission_pixels
+from ..operators.pipeline import label_correlation
 from ..sources import read_table
 
 
@@ -72,7 +73,13 @@ def five_channel(spark: SparkSession, d: str) -> DataFrame:
     return five_channel_table(pictures(spark, d), size=8, patch=3)
 
 
-QUERIES = {f.__name__: f for f in (transmission_of_pixels, mean_transmission, inv_saturation_pixels, handcrafted_ood, phash_features, five_channel)}
+def transmission_label_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Transmission against the mean label of the picture's vectors."""
+    labels = read_table(spark, d, "embeddings").groupBy(F.call_function("div", "vec_id", F.lit(3)).alias("image")).agg(F.avg("label").alias("label"))
+    return label_correlation(mean_transmission(spark, d).join(labels, "image"), "mean_t", "label", "image")
+
+
+QUERIES = {f.__name__: f for f in (transmission_of_pixels, mean_transmission, inv_saturation_pixels, handcrafted_ood, phash_features, five_channel, transmission_label_correlation)}
 SQL = {
     "transmission_of_pixels": f"{TRANSMISSION_SQL} select image, y, x, round(t, 6) as t from tr",
     "mean_transmission": f"{TRANSMISSION_SQL} select image, round(avg(t), 6) as mean_t from tr group by 1",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aqi
-from ..operators import abstain, calibrate, ceiling, clean, duplicates, scores, splits
+from ..operators import abstain, calibrate, ceiling, clean, duplicates, pipeline, scores, splits
 from ..sources import read_table
 from ..sources.feeds import folder_rollup, match_folder, stratified_sensors
 from .views import PHOTOS_SQL, SEED, group_split_sql, photos, predictions, predictions_sql, shares
@@ -288,7 +288,10 @@ def balanced_weights(spark: SparkSession, d: str) -> DataFrame:
     return weighed.select("_row", R("weight", 9).alias("weight"), R(F.sqrt("weight"), 9).alias("root_weight"))
 
 
-@query()
+@query(f"""with {PHOTOS_SQL}, b as (select _row, {aqi.sql_band('pm25')} as b from ph), c as (select b, count(*) as n from b group by 1),
+w as (select _row, 1.0::double / n as w, sum(1.0::double / n) over (order by _row rows unbounded preceding) as upto from b join c on b.b is not distinct from c.b),
+d as (select i as draw, (('0x' || substr(md5(cast(i as varchar) || '#{SEED}'), 1, 12))::bigint)::double / 281474976710656.0 * (select max(upto) from w) as pt from (select unnest(range((select count(*) from ph))) as i))
+select draw, _row from d join w on pt >= upto - w and pt < upto""")
 def weighted_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = photos(spark, d)
     return splits.weighted_sample(splits.balanced_weights(rows, aqi.band(F.col("pm25")), 1.0), "weight", rows.count())
@@ -394,7 +397,24 @@ def contaminated_vs_clean(spark: SparkSession, d: str) -> DataFrame:
     return scores.contaminated_vs_clean(marked, "y", "point")
 
 
-@query()
+def _cv_sql() -> str:
+    folds = _folds_sql().removeprefix("with recursive ")
+    ctes, parts = folds.rsplit(" select 0 as fold", 1)
+    return f"""with recursive {ctes}, fold as (select 0 as fold{parts}),
+r as (select f.fold, f.role, cast(floor(p.latitude / 15) as bigint) as zone, p.pm25 as y from ph p join fold f on cast(p.station_id as varchar) = f.station_id),
+m as (select fold, zone, avg(y) as p from r where role = 'train' group by 1, 2),
+per as (select fold, {_POINT_SQL} from (select r.fold, y, p from r join m using (fold, zone) where role = 'test') group by 1),
+long as (select unnest(['r2', 'r2_pearson', 'mae', 'rmse']) as metric, unnest([r2, r2_pearson, mae, rmse]) as v from per),
+s as (select metric, avg(v) as m, stddev_samp(v) as sd, count(*) as k from long where v is not null group by 1)
+select metric, round(m, 6) as mean, round(sd, 6) as sd, round(m - {_T4} * sd / sqrt(k), 6) as low, round(m + {_T4} * sd / sqrt(k), 6) as high,
+  round(m - {_T4} * sd * sqrt(1.0 / k + 0.25), 6) as nb_low, round(m + {_T4} * sd * sqrt(1.0 / k + 0.25), 6) as nb_high from s"""
+
+
+#: Fixed value: the 97.5 % point of Student's t with four degrees of freedom.
+_T4 = 2.7764451051977987
+
+
+@query(_cv_sql())
 def cv_summary_ci(spark: SparkSession, d: str) -> DataFrame:
     rows = photos(spark, d).select("station_id", F.floor(F.col("latitude") / 15).alias("zone"), F.col("pm25").alias("y"))
     fold = splits.cv_folds(rows).select(F.col("station_id").alias("s"), "fold", "role")
@@ -405,7 +425,13 @@ def cv_summary_ci(spark: SparkSession, d: str) -> DataFrame:
     return scores.summarise_folds(per, "fold", ["r2", "r2_pearson", "mae", "rmse"])
 
 
-@query()
+@query(f"""{LEAKY_SQL}, pts as (select point as x, avg(y) as v, count(*)::double as w from leaky where split = 'cal' group by 1),
+c as (select x, row_number() over (order by x) as k, sum(v * w) over (order by x rows unbounded preceding) as sv, sum(w) over (order by x rows unbounded preceding) as sw, v * w as own, w from pts),
+avgs as (select i.k as i, j.k as j, (j.sv - i.sv + i.own) / (j.sw - i.sw + i.w) as a from c i join c j on j.k >= i.k),
+mins as (select i, k, min(a) as low from avgs join (select k from c) on k >= i and j >= k group by 1, 2),
+fit as (select x, greatest(max(low), 0) as f from mins join c using (k) group by 1),
+e as (select x, round(f, 6) as f, lag(round(f, 6)) over (order by x) as b, lead(round(f, 6)) over (order by x) as n from fit)
+select round(x, 6) as x, f as fitted from e where b is null or n is null or b <> f or n <> f""")
 def isotonic_fit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(calibrate.isotonic_fit(predictions(spark, d, leaky=True).where("split = 'cal'"), "point", "y"), "x", "fitted")
 
@@ -563,3 +589,62 @@ def folder_tree(spark: SparkSession, d: str) -> DataFrame:
     return tree.withColumn("kind", match_folder(F.col("folder"), {"dark": ("dark",), "blurred": ("blur",)}))
 
 
+
+
+# whole evaluations
+
+
+def _report_sql(name: str, source: str) -> str:
+    parts = ", ".join(f"count(*) filter (where split = '{s}') as n_{s}, round(count(*) filter (where split = '{s}') / count(*)::double, 3) as frac_{s}, count(distinct station_id) filter (where split = '{s}') as stations_{s}" for s in shares())
+    return f"select '{name}' as strategy, {parts}, (select count(*) from (select station_id from {source} where station_id is not null group by 1 having count(distinct split) > 1)) as straddling from {source}"
+
+
+def _strategies_sql() -> str:
+    cut = "case when k <= round_even(0.65::double * n, 0) then 'train' when k <= round_even(0.65::double * n, 0) + round_even(0.15::double * n, 0) then 'cal' else 'test' end"
+    by_order = {"random": f"md5(cast(_row as varchar) || '|#{SEED}'), _row", "temporal": "cast(captured_at as timestamp), _row"}
+    ctes = [PHOTOS_SQL, group_split_sql(GROUPS_SQL, shares(), "ps"), group_split_sql(f"(select {CELL_SQL} as component, count(*) as n from ph group by 1)", shares(), "pg")]
+    ctes += ["station_grouped as (select station_id, split from ph join ps on cast(station_id as varchar) = component)", f"geographic as (select station_id, split from ph join pg on {CELL_SQL} = component)"]
+    ctes += [f"{n} as (select station_id, {cut} as split from (select station_id, row_number() over (order by {o}) as k, count(*) over () as n from ph))" for n, o in by_order.items()]
+    return f"with recursive {', '.join(ctes)} {' union all '.join(_report_sql(n, n) for n in ('station_grouped', 'random', 'geographic', 'temporal'))}"
+
+
+@query(_strategies_sql())
+def compare_strategies(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.compare_strategies(photos(spark, d), ("station_grouped", "random", "geographic", "temporal"))
+
+
+@query()
+def evaluate_split(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.evaluate_split(predictions(spark, d, leaky=True))
+
+
+@query(f"""{PRED_SQL}, s as (select avg(y) as m, stddev_pop(y) + 1e-6 as sd from pred where split = 'train'),
+l as (select ln(greatest(y, 1e-6)) as ly, ln(q05) as a, ln(q50) as b, ln(q95) as c, y, (point - m) / sd as z, m, sd from pred, s where split = 'test')
+select round(avg((greatest(0.05 * (ly - a), -0.95 * (ly - a)) + greatest(0.5 * (ly - b), -0.5 * (ly - b)) + greatest(0.95 * (ly - c), -0.05 * (ly - c))) / 3) + avg(pow(z - (y - m) / sd, 2)), 6) as loss from l""")
+def combined_loss(spark: SparkSession, d: str) -> DataFrame:
+    pred = predictions(spark, d)
+    stats = calibrate.target_stats(pred.where("split = 'train'"), "y").first()
+    z = (F.col("point") - stats["y_mean"]) / stats["y_std"]
+    logs = {q: (F.log(q), p) for q, p in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))}
+    return pred.where("split = 'test'").agg(R(pipeline.combined_loss(F.col("y"), logs, z, stats["y_mean"], stats["y_std"])).alias("loss"))
+
+
+@query(f"with {PHOTOS_SQL}, r as (select _row, pm25, row_number() over (order by pm25, _row) as k from ph) select _row, pm25 from r where (k - 1) % 37 = 0 and k <= 37 * 40")
+def every_kth(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.every_kth(photos(spark, d).select("_row", "pm25"), [F.col("pm25"), F.col("_row")], 37, 40)
+
+
+@query(f"""with {PHOTOS_SQL} {' union all '.join(f"(select '{n}' as target, _row, pm25 from ph order by abs(pm25 - {t}), _row limit 1)" for n, t in (("low", 20.0), ("middle", 80.0), ("high", 300.0)))}""")
+def nearest_rows(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.nearest_rows(photos(spark, d), "pm25", {"low": 20.0, "middle": 80.0, "high": 300.0}, "_row")
+
+
+@query(f"{CONF_SQL} select row_id, round((high - low) / 35, 5) as ratio, round((high - low) / 35, 9) <= 1.2 as near_floor from wide")
+def interval_over_floor(spark: SparkSession, d: str) -> DataFrame:
+    ratio, near = pipeline.width_over_floor(F.round("q05", 9), F.round("q95", 9))
+    return _calibrated(spark, d).select("row_id", R(ratio, 5).alias("ratio"), near.alias("near_floor"))
+
+
+@query(f"{UNSURE_SQL} select round(avg(case when e > 40 then 1.0 else 0 end), 6) as rate from u where split = 'test'")
+def refuse_rate(spark: SparkSession, d: str) -> DataFrame:
+    return _unsure(spark, d).where("split = 'test'").agg(R(abstain.refuse_rate(F.col("e"), F.lit(40.0))).alias("rate"))

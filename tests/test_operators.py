@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from airledger.functions import aqi
 from airledger.functions.stats import esd_limit, t_p_value, t_quantile
-from airledger.operators import abstain, calibrate, ceiling, clean, duplicates, pictures, ranks, scores, shares, splits
+from airledger.operators import abstain, calibrate, ceiling, clean, duplicates, pictures, pipeline, ranks, scores, shares, splits
 from airledger.operators.graph import connected_components
 
 
@@ -361,3 +361,34 @@ def test_model_outputs(spark):
     assert near(row["y_mean"], 2) and near(row["y_std"], 1 + 1e-6, 1e-9)
     lr = [r[0] for r in spark.range(5).select(calibrate.cosine_warmup(F.col("id"), 2, 4)).collect()]
     assert lr[0] == 0.5 and lr[1] == 1.0 and near(lr[4], 0)
+
+
+def test_pipeline(spark):
+    df = spark.createDataFrame(photo_rows(), PHOTOS)
+    for s in pipeline.STRATEGIES:
+        assert pipeline.make_splits(df, s).where(f"strategy = '{s}' and split is not null").count() == 90
+    with pytest.raises(ValueError, match="unknown"):
+        pipeline.make_splits(df, "other")
+    with pytest.raises(ValueError, match="sum"):
+        pipeline.make_splits(df, shares={"train": 0.5, "cal": 0.1, "test": 0.1})
+    with pytest.raises(ValueError, match="needs"):
+        pipeline.make_splits(df.withColumn("station_id", F.lit(None).cast("long")))
+    with pytest.raises(ValueError, match="station came"):
+        pipeline.make_splits(df.withColumn("station_id", F.lit(1)), "shipped")
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(900):
+        y = float(rng.uniform(10, 200))
+        p = y + float(rng.normal(0, 15))
+        rows.append((i, i // 3, ["train", "cal", "test"][(i // 3) % 3], y, p - 10, p, p + 10, p))
+    pred = spark.createDataFrame(rows, "row_id long, station_id long, split string, y double, q05 double, q50 double, q95 double, point double")
+    row = pipeline.evaluate_split(pred).first()
+    assert 0.85 <= row["coverage"] <= 0.97 and row["r2"] > 0.85 and row["straddling"] == 0 and (row["n_train"], row["n_test"]) == (300, 300)
+    assert abs(row["r2"] - (1 - (row["rmse"] / row["sd_y"]) ** 2)) < 1e-5
+    down = spark.createDataFrame([(i, float(i), -2.0 * i + (i % 3)) for i in range(60)], "k long, a double, b double")
+    corr = pipeline.label_correlation(down, "a", "b", "k", 40).first()
+    assert corr["n"] == 40 and corr["passes"] and corr["pearson_p"] < 1e-6
+    same = pipeline.score_batches(down, lambda: lambda pdf: pdf.assign(c=pdf["a"] * 2)[["k", "c"]], "k long, c double")
+    assert same.agg(F.sum("c")).first()[0] == 2 * sum(range(60))
+    huber = spark.range(1).agg(pipeline.combined_loss(F.lit(100.0), {"q": (F.log(F.lit(100.0)), 0.5)}, F.lit(3.0), 100.0, 1.0, huber=1.0)).first()[0]
+    assert near(huber, 2.5)

@@ -69,3 +69,49 @@ def test_stream_equals_batch(spark, tmp_path):
     run_available(daily_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     key = lambda df: {(r["station"], str(r["day"]), r["n_hours"], round(r["day_mean_aqi"], 6), round(r["within_day_var"], 6)) for r in df.collect()}
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(per_day(clean_hourly(spark.createDataFrame(rows, schema))))
+
+
+def png(rgb):
+    """A PNG file from rows of RGB bytes."""
+    import struct
+    import zlib
+
+    h, w = len(rgb), len(rgb[0])
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + bytes(v for p in row for v in p) for row in rgb)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">2I5B", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def test_pictures_from_files(spark, tmp_path):
+    from airledger.sources.images import build_map_cache, iter_pictures, load_map_cache, pixel_table, read_pictures, verify_map_cache
+
+    rows = [[(10 * x, 20 * y, 200) for x in range(6)] for y in range(5)]
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.png").write_bytes(png(rows))
+    (tmp_path / "in" / "deep" / "b.png").write_bytes(png([[(255, 0, 0)] * 4] * 4))
+    (tmp_path / "in" / "c.png").write_bytes(b"no picture")
+    pictures = read_pictures(spark, str(tmp_path / "in"))
+    got = {k.rsplit("/", 1)[1]: v for k, v in iter_pictures(pictures)}
+    assert set(got) == {"a.png", "b.png"} and got["a.png"].shape == (5, 6, 3)
+    assert abs(got["a.png"] * 255 - rows).max() < 1e-9
+    first = pixel_table(pictures).where("image like '%a.png' and y = 3 and x = 2").first()
+    assert [round(first[c] * 255) for c in "rgb"] == [20, 60, 200]
+    build_map_cache(pictures, str(tmp_path / "maps"), size=16, patch=3)
+    cached = load_map_cache(spark, str(tmp_path / "maps"))
+    assert verify_map_cache(cached, pictures, size=16, patch=3)["checked"] == 2
+    images = [r["image"] for r in cached.orderBy("image").collect()]
+    swapped = cached.withColumn("image", F.when(F.col("image") == images[0], images[1]).otherwise(images[0]))
+    with pytest.raises(AssertionError):
+        verify_map_cache(swapped, pictures, size=16, patch=3)
+
+
+def test_config(tmp_path):
+    from airledger.config import find_config, load_config
+
+    assert load_config(None).split.train == 0.65
+    (tmp_path / "airledger.yaml").write_text("seed: 7\nsplit: {train: 0.5}\n")
+    (tmp_path / "sub").mkdir()
+    found = load_config(find_config(tmp_path / "sub"))
+    assert (found.seed, found.split.train, found.split.cal) == (7, 0.5, 0.15)
+    with pytest.raises(AttributeError):
+        found.nothing
