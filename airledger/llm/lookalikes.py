@@ -49,14 +49,24 @@ def character_map() -> dict[str, str]:
     return made
 
 
+def composed(text: Column) -> Column:
+    """Canonical composition (NFC), by the Unicode library that Spark's collations use.
+
+    The collation compares composed and combining accents alike, but only if several marks on
+    one letter stand in canonical order, which this brings about.
+    """
+    return F.when(text.isNotNull(), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False)))
+
+
 def skeleton(text: Column) -> Column:
     """`text` with invisible characters dropped and look-alikes brought to one form.
 
-    Accents may still be written whole or as combining marks; the collation treats both alike.
+    An accent that a replaced letter carries may still be a combining mark; the collation
+    treats it like the composed letter. Null stays null.
     """
     table = character_map()
     out = F.regexp_replace(text, INVISIBLE, "")
-    out = F.replace(out, F.lit("\r\n"), F.lit("\n"))
+    out = composed(F.replace(out, F.lit("\r\n"), F.lit("\n")))
     out = F.translate(out, "".join(table), "".join(table.values()))
     for sign, plain in LIGATURES.items():
         out = F.replace(out, F.lit(sign), F.lit(plain))

@@ -26,7 +26,7 @@ _INVISIBLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{84}\x{86}-\x{9F}\x{AD}\x{34F}\
 def _skeleton_sql(text: str) -> str:
     table = character_map()
     out = f"regexp_replace({text}, '{_INVISIBLE}', '', 'g')"
-    out = f"replace({out}, chr(13) || chr(10), chr(10))"
+    out = f"nfc_normalize(replace({out}, chr(13) || chr(10), chr(10)))"
     out = f"translate({out}, {_text(''.join(table))}, {_text(''.join(table.values()))})"
     for sign, plain in LIGATURES.items():
         out = f"replace({out}, {_text(sign)}, {_text(plain)})"
