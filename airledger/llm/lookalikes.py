@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_between
+
 #: Characters that show nothing (controls, soft hyphen, joiners, zero-width and
 #: direction marks, variation selectors, tags).
 INVISIBLE = (
@@ -78,14 +80,18 @@ COLLATION = "UNICODE"
 
 
 def with_skeleton(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h1, h2, look): two hashes that tell texts apart (128 bits), and the collated skeleton."""
+    """(key, h1, h2, look): two hashes that tell texts apart (128 bits), and the collated skeleton.
+
+    The skeletons are made once and written, since the classes and their members both need them.
+    """
     shown = df.where(F.col(text).isNotNull() & (F.col(text) != ""))
-    return shown.select(
+    made = shown.select(
         F.col(key).alias("key"),
         F.xxhash64(text).alias("h1"),
         F.xxhash64(F.lit(7), F.col(text)).alias("h2"),
-        F.collate(skeleton(F.col(text)), COLLATION).alias("look"),
+        skeleton(F.col(text)).alias("look"),
     )
+    return write_between(made, "skeletons").withColumn("look", F.collate("look", COLLATION))
 
 
 def look_classes(looks: DataFrame) -> DataFrame:
@@ -122,6 +128,7 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     looks = with_skeleton(df, key, text)
     mixed = look_classes(looks).where("mixed").select(F.col("look").alias("look_"), "class_id")
     members = looks.join(mixed, F.col("look") == F.col("look_")).select("key", "class_id", "h1", "h2")
+    members = write_between(members, "members")
     variants = members.select("class_id", "h1", "h2").distinct()
     other = variants.select(*(F.col(c).alias(f"{c}_") for c in variants.columns))
     differ = variants.join(other, (F.col("class_id") == F.col("class_id_")) & (F.struct("h1", "h2") < F.struct("h1_", "h2_"))).drop("class_id_")
