@@ -79,28 +79,41 @@ def skeleton(text: Column) -> Column:
 COLLATION = "UNICODE"
 
 
-def with_skeleton(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h1, h2, look): two hashes that tell texts apart (128 bits), and the collated skeleton.
+def rough_key(form: Column) -> Column:
+    """Hash of the ASCII letters and digits of a skeleton, its accents taken off.
 
-    The skeletons are made once and written, since the classes and their members both need them.
+    The collation never equates two forms that differ in it: each of these characters has a
+    weight of its own. It only tells which texts need no comparing.
     """
+    plain = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), form, F.lit(False))
+    return F.xxhash64(F.regexp_replace(plain, "[^0-9A-Za-z]+", ""))
+
+
+def _forms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h1, h2, rough, form): two hashes that tell texts apart (128 bits), rough key and skeleton
+    of each text. Written once, since several steps need them."""
     shown = df.where(F.col(text).isNotNull() & (F.col(text) != ""))
-    made = shown.select(
-        F.col(key).alias("key"),
-        F.xxhash64(text).alias("h1"),
-        F.xxhash64(F.lit(7), F.col(text)).alias("h2"),
-        skeleton(F.col(text)).alias("look"),
-    )
-    return write_between(made, "skeletons").withColumn("look", F.collate("look", COLLATION))
+    made = shown.select(F.col(key).alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), F.col(text)).alias("h2"), skeleton(F.col(text)).alias("form"))
+    return write_between(made.withColumn("rough", rough_key(F.col("form"))), "forms")
 
 
-def look_classes(looks: DataFrame) -> DataFrame:
-    """(look, class_id, mixed): the lowest key of each class of equal looks, and whether its
-    texts differ. Copies are brought together before the shuffle."""
-    return looks.groupBy("look").agg(
-        F.min("key").alias("class_id"),
-        ((F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))).alias("mixed"),
-    )
+def _differ() -> Column:
+    return (F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))
+
+
+def _mixed_members(forms: DataFrame) -> DataFrame:
+    """(key, h1, h2, class_id) of the texts in classes whose texts differ; class_id is the lowest key.
+
+    Texts are grouped under the collation, and the classes joined back to them. Only texts
+    that share their rough key with a different one take part; copies are brought together
+    before each shuffle.
+    """
+    shared = forms.groupBy("rough").agg(_differ().alias("mixed")).where("mixed").select("rough")
+    some = write_between(forms.join(shared, "rough", "left_semi").drop("rough"), "candidates")
+    looks = some.withColumn("look", F.collate("form", COLLATION)).drop("form")
+    classes = looks.groupBy("look").agg(F.min("key").alias("class_id"), _differ().alias("mixed")).where("mixed")
+    classes = classes.select(F.col("look").alias("look_"), "class_id")
+    return write_between(looks.join(classes, F.col("look") == F.col("look_")).select("key", "h1", "h2", "class_id"), "members")
 
 
 def canonical_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,11 +123,12 @@ def canonical_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     and its skeleton is the form that all members get. An empty text stays empty and a null
     text null, each a class of its own. `key` must be unique.
     """
-    looks = with_skeleton(df, key, text)
-    classes = look_classes(looks).select(F.col("look").alias("look_"), "class_id")
-    of = looks.join(classes, F.col("look") == F.col("look_")).select("key", "class_id")
-    forms = df.select(F.col(key).alias("form_id"), skeleton(F.col(text)).alias("form"))
-    member = of.join(forms, F.col("class_id") == F.col("form_id")).select("key", "class_id", F.col("form").alias("canonical"))
+    forms = _forms(df, key, text)
+    mixed = _mixed_members(forms).select("key", "class_id")
+    alike = forms.groupBy("h1", "h2").agg(F.min("key").alias("first"))
+    of = forms.select("key", "h1", "h2").join(alike, ["h1", "h2"]).join(mixed, "key", "left").select("key", F.coalesce("class_id", "first").alias("class_id"))
+    chosen = forms.select(F.col("key").alias("form_id"), F.col("form").alias("canonical"))
+    member = of.join(chosen, F.col("class_id") == F.col("form_id")).select("key", "class_id", "canonical")
     rest = df.where(F.col(text).isNull() | (F.col(text) == "")).select(F.col(key).alias("key"), F.col(key).alias("class_id"), F.col(text).alias("canonical"))
     return member.unionByName(rest).withColumnRenamed("key", key)
 
@@ -125,10 +139,7 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Differing texts of a class are paired first, their rows after that, so that many copies
     of one text cost no comparisons among themselves. Null and empty texts are no case.
     """
-    looks = with_skeleton(df, key, text)
-    mixed = look_classes(looks).where("mixed").select(F.col("look").alias("look_"), "class_id")
-    members = looks.join(mixed, F.col("look") == F.col("look_")).select("key", "class_id", "h1", "h2")
-    members = write_between(members, "members")
+    members = _mixed_members(_forms(df, key, text))
     variants = members.select("class_id", "h1", "h2").distinct()
     other = variants.select(*(F.col(c).alias(f"{c}_") for c in variants.columns))
     differ = variants.join(other, (F.col("class_id") == F.col("class_id_")) & (F.struct("h1", "h2") < F.struct("h1_", "h2_"))).drop("class_id_")
