@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.timestamps import EXACT, with_instant
 from ..operators.grid import hour_text, hourly_grid, missing_hours
 from ..operators.implausible import implausible_readings
+from ..operators.readings import is_number
 from ..sources import read_table
 
 
 def timed_readings(spark: SparkSession, d: str) -> DataFrame:
-    """`hourly` with the instant of each reading as `utc_us`."""
-    return with_instant(read_table(spark, d, "hourly"), read_table(spark, d, "locations"))
+    """The readings of `hourly` whose `aqi` is a number, with their instant as `utc_us`."""
+    hourly = read_table(spark, d, "hourly")
+    return with_instant(hourly.where(is_number(hourly["aqi"])), read_table(spark, d, "locations"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +43,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_instants(spark: SparkSession, d: str) -> DataFrame:
-    return timed_readings(spark, d).select("reading_id", "utc_us")
+    return with_instant(read_table(spark, d, "hourly"), read_table(spark, d, "locations")).select("reading_id", "utc_us")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p4_found, p4_flags, p6_found, p6_instants)}
