@@ -50,8 +50,10 @@ def hourly_grid(
     """
     hours = hourly_values(df, source, time, value, delivery).withColumn("block", floor_div(F.col("hour"), BLOCK_HOURS))
     inside = Window.partitionBy("source", "block").orderBy("hour")
-    within = hours.select("source", "hour", "x", F.lead("hour").over(inside).alias("next_hour"), F.lead("x").over(inside).alias("next_x"))
-    edges = hours.groupBy("source", "block").agg(
+    paired = hours.select("*", F.lead("hour").over(inside).alias("next_hour"), F.lead("x").over(inside).alias("next_x"), F.lag("hour").over(inside).alias("last_hour"))
+    within = paired.select("source", "hour", "x", "next_hour", "next_x")
+    # the edges are read off the pairs, so that both come from one pass over the readings
+    edges = paired.where(F.col("last_hour").isNull() | F.col("next_hour").isNull()).groupBy("source", "block").agg(
         F.min("hour").alias("low"), F.min_by("x", "hour").alias("low_x"), F.max("hour").alias("high"), F.max_by("x", "hour").alias("high_x")
     )
     along = Window.partitionBy("source").orderBy("block")
