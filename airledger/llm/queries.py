@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import with_instant
-from ..operators.readings import DAY_US, floor_div
+from ..operators.readings import DAY_US, floor_div, is_number
 from ..sources import read_table
 from .lookalikes import canonical_texts, lookalike_pairs
 from .overlap import cross_split_pairs, overlap_counts
@@ -25,15 +25,21 @@ def vocabulary(name: str) -> str:
     return os.path.join(os.environ.get("AIRLEDGER_VOCABULARIES", VOCABULARIES), f"{name}.tiktoken")
 
 
-def day_summaries(spark: SparkSession, d: str) -> DataFrame:
-    """A summary of `aqi` for each location and UTC day of `date` (null where it names none)."""
+def _placed_values(spark: SparkSession, d: str) -> DataFrame:
+    """(country, location_id, day, aqi) of the readings whose `aqi` is a number; the day is the UTC day
+    of `date`, null where it names none; the country is the place's own, else the reading's."""
     places = read_table(spark, d, "locations")
     home = places.select(F.col("location_id").alias("__home"), F.col("country").alias("__home_country"))
-    timed = with_instant(read_table(spark, d, "hourly"), places)
+    hourly = read_table(spark, d, "hourly")
+    timed = with_instant(hourly.where(is_number(hourly["aqi"])), places)
     timed = timed.join(home, timed["location_id"] == home["__home"], "left")
     country = F.coalesce(F.col("__home_country"), F.upper(timed["country"]))
-    rows = timed.select(country.alias("country"), timed["location_id"].alias("location_id"), floor_div(F.col("utc_us"), DAY_US).alias("day"), timed["aqi"].alias("aqi"))
-    return summarise(rows, ["country", "location_id", "day"], "aqi")
+    return timed.select(country.alias("country"), timed["location_id"].alias("location_id"), floor_div(F.col("utc_us"), DAY_US).alias("day"), timed["aqi"].alias("aqi"))
+
+
+def day_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """A summary of `aqi` for each location and day."""
+    return summarise(_placed_values(spark, d), ["country", "location_id", "day"], "aqi")
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +58,31 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per location and day alone; exact for days of fewer values than a buffer holds."""
+    return percentiles(day_summaries(spark, d), ["location_id", "day"], QUANTILES)
+
+
+def p2_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """(scope, key, n, within): whether the true ranks of the percentiles per location and country are
+    within their bounds, by counting all values on either side of each."""
+    values = _placed_values(spark, d)
+    locations = combine(summarise(values, ["country", "location_id"], "aqi"), ["country", "location_id"])
+    out = None
+    for scope, summaries, key in (("location", locations, "location_id"), ("country", combine(locations, ["country"]), "country")):
+        read = percentiles(summaries, [key], QUANTILES).withColumnsRenamed({key: "key", "n": "total"})
+        joined = values.join(read, values[key].eqNullSafe(read["key"]))
+        counts = [c for q in QUANTILES for c in (F.count_if(F.col("aqi") < F.col(q)).alias(f"{q}_under"), F.count_if(F.col("aqi") <= F.col(q)).alias(f"{q}_upto"))]
+        counted = joined.groupBy("key").agg(F.count("*").alias("n"), F.max("rank_error").alias("err"), F.max("total").alias("total"), *counts)
+        good = F.col("n") == F.col("total")
+        for q, p in QUANTILES.items():
+            rank = F.ceil(F.lit(p) * F.col("n") - 1e-9)
+            good = good & (F.col(f"{q}_under") + 1 - F.col("err") <= rank) & (rank <= F.col(f"{q}_upto") + F.col("err"))
+        one = counted.select(F.lit(scope).alias("scope"), F.col("key").cast("string").alias("key"), "n", good.alias("within"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p2_day_summaries(spark: SparkSession, d: str) -> DataFrame:
     return day_summaries(spark, d)
 
@@ -122,6 +153,6 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_percentiles, p2_day_summaries, p3_found, p3_splits, p5_found, p5_counts, p7_ids, p8_packs, p9_found, p9_canonical)
+    for f in (p2_percentiles, p2_day_percentiles, p2_bounds, p2_day_summaries, p3_found, p3_splits, p5_found, p5_counts, p7_ids, p8_packs, p9_found, p9_canonical)
 }
 

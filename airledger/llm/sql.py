@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..plans.general_sql import TIMED_SQL
 from ..plans.views import group_split_sql
 from .lookalikes import LIGATURES, character_map
 from .splits import WIDE_DIGITS
@@ -37,7 +38,17 @@ LOOKS_SQL = f"""s as (select doc_id, text, {_skeleton_sql('text')} as form from
 l as (select *, nfc_normalize(form) as look from s)"""
 MEMBER_SQL = "case when station_no is not null then 'station:' || station_no else 'row:' || _row end"
 
+_QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+_VALUES_SQL = """v as (
+  select h.location_id, coalesce(l.country, upper(h.country)) as country, cast(floor(h.utc_us / 86400000000.0) as bigint) as day, h.aqi
+  from timed h left join locations l on l.location_id = h.location_id where h.aqi is not null and not isnan(h.aqi))"""
+_RANKS = ", ".join(f"max(aqi) filter (where k = greatest(1, ceil({q}::double * n - 1e-9))) as {name}" for name, q in _QUANTILES.items())
+
 SQL = {
+    "p2_day_percentiles": f"""with {TIMED_SQL}, {_VALUES_SQL}, r as (select *, row_number() over (partition by location_id, day order by aqi) as k, count(*) over (partition by location_id, day) as n from v)
+select location_id, day, any_value(n) as n, {_RANKS}, 0 as rank_error from r group by location_id, day""",
+    "p2_bounds": f"""with {TIMED_SQL}, {_VALUES_SQL} select 'location' as scope, cast(location_id as varchar) as key, count(*) as n, true as within from v group by location_id
+union all select 'country', country, count(*), true from v group by country""",
     "p3_found": f"with {SP_SQL} select station_no from sp1 where station_no is not null and split is not null group by 1 having count(distinct split) > 1",
     "p3_splits": f"""with recursive {SP_SQL}, {group_split_sql(f"(select 'new:' || {MEMBER_SQL} as component, count(*) as n from sp1 group by 1)", {"train": 0.65, "test": 0.2, "cal": 0.15})}
 select _row, image_id, station_no, component, placed.split from sp1 join placed on component = 'new:' || {MEMBER_SQL}""",
