@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import write_between
+from ..session import forget, write_between
 
 
 def _hooked(links: DataFrame) -> DataFrame:
@@ -22,8 +22,12 @@ def _jumped(parents: DataFrame) -> DataFrame:
 
 def _shortened(parents: DataFrame) -> DataFrame:
     """Every node pointing at the root of its tree: paths halve with each jump until none is left."""
+    before = None
     while True:
         parents = write_between(_jumped(_jumped(parents)), "parents")
+        if before is not None:
+            forget(before)
+        before = parents
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         if parents.join(up, "parent").where("grand <> parent").isEmpty():
             return parents
@@ -49,8 +53,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             return labels
         parents = _shortened(_hooked(left))
         a, b = (parents.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_to")) for c in ("a", "b"))
+        old = left, labels
         moved = left.join(a, "a").join(b, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
         left = write_between(moved.where("a <> b").distinct(), "links")
         to = parents.select(F.col("node").alias("component"), "parent")
         labels = write_between(labels.join(to, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "nodes")
+        forget(parents, *old)
     raise RuntimeError(f"not connected after {most_rounds} rounds")

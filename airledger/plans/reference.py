@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import aqi
 from ..operators import abstain, calibrate, ceiling, clean, duplicates, pipeline, scores, splits
+from ..session import shared_dir
 from ..sources import read_table
-from ..sources.feeds import folder_rollup, match_folder, stratified_sensors
+from ..sources.feeds import folder_rollup, match_folder, parse_hours, stratified_sensors
+from ..streaming.daily import daily_stream, run_available
 from .views import PHOTOS_SQL, SEED, group_split_sql, photos, predictions, predictions_sql, shares
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -648,3 +651,72 @@ def interval_over_floor(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{UNSURE_SQL} select round(avg(case when e > 40 then 1.0 else 0 end), 6) as rate from u where split = 'test'")
 def refuse_rate(spark: SparkSession, d: str) -> DataFrame:
     return _unsure(spark, d).where("split = 'test'").agg(R(abstain.refuse_rate(F.col("e"), F.lit(40.0))).alias("rate"))
+
+
+# outputs of models
+
+ISO_SQL = f"""{LEAKY_SQL}, pts as (select point as x, avg(y) as v, count(*)::double as w from leaky where split = 'cal' group by 1),
+c as (select x, row_number() over (order by x) as k, sum(v * w) over (order by x rows unbounded preceding) as sv, sum(w) over (order by x rows unbounded preceding) as sw, v * w as own, w from pts),
+avgs as (select i.k as i, j.k as j, (j.sv - i.sv + i.own) / (j.sw - i.sw + i.w) as a from c i join c j on j.k >= i.k),
+mins as (select i, k, min(a) as low from avgs join (select k from c) on k >= i and j >= k group by 1, 2),
+fit as (select x, greatest(max(low), 0) as f, lead(x) over (order by x) as nx, lead(greatest(max(low), 0)) over (order by x) as nf from mins join c using (k) group by 1)"""
+
+
+@query(f"""{ISO_SQL}, t as (select row_id, point from leaky where split = 'test')
+select row_id, round(case when point <= (select min(x) from fit) then (select arg_min(f, x) from fit) when point >= (select max(x) from fit) then (select arg_max(f, x) from fit)
+  else (select f + (point - x) * (nf - f) / (nx - x) from fit where x <= point and nx > point) end, 5) as point from t""")
+def recalibrated_points(spark: SparkSession, d: str) -> DataFrame:
+    pred = predictions(spark, d, leaky=True)
+    xs, ys = calibrate.knots(calibrate.isotonic_fit(pred.where("split = 'cal'"), "point", "y"))
+    return pred.where("split = 'test'").select("row_id", R(calibrate.apply_knots(F.col("point"), xs, ys), 5).alias("point"))
+
+
+@query(f"""with {PHOTOS_SQL}, {predictions_sql()}, {predictions_sql(True, 'leaky')},
+m as (select row_id, q50 as a, point as b from pred union all select row_id, q50, point from leaky)
+select row_id, round(exp(avg(ln(a))), 5) as q50, round(exp(avg(ln(b))), 5) as point from m group by 1""")
+def ensemble_mean(spark: SparkSession, d: str) -> DataFrame:
+    members = predictions(spark, d).unionByName(predictions(spark, d, leaky=True))
+    return calibrate.ensemble_mean(members, "row_id", ["q50", "point"]).select("row_id", R("q50", 5).alias("q50"), R("point", 5).alias("point"))
+
+
+@query(f"""{PRED_SQL}, s as (select avg(y) as m, stddev_pop(y) + 1e-6 as sd from pred where split = 'train')
+select round(avg(abs(greatest((point - m) / sd * sd + m, 0) - y)), 6) as mae from pred, s where split = 'test'""")
+def point_mae(spark: SparkSession, d: str) -> DataFrame:
+    pred = predictions(spark, d)
+    stats = calibrate.target_stats(pred.where("split = 'train'"), "y").first()
+    back = calibrate.point_to_aqi((F.col("point") - stats["y_mean"]) / stats["y_std"], F.lit(stats["y_mean"]), F.lit(stats["y_std"]))
+    return pred.where("split = 'test'").agg(R(F.avg(F.abs(back - F.col("y")))).alias("mae"))
+
+
+@query("""with h as (select vec_id, embedding[1]::double as b, embedding[2]::double as s, embedding[3]::double as t from embeddings where len(embedding) >= 3)
+select vec_id, round(b, 6) as q05, round(b + ln(1 + exp(s)), 6) as q50, round(b + ln(1 + exp(s)) + ln(1 + exp(t)), 6) as q95 from h""")
+def monotone_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "embeddings").where("size(embedding) >= 3")
+    head = [F.get("embedding", k).cast("double") for k in range(3)]
+    return rows.select("vec_id", *(R(q).alias(n) for q, n in zip(calibrate.monotone_quantiles(head[0], head[1:]), ("q05", "q50", "q95"))))
+
+
+@query("""select e::bigint as epoch, round(case when e < 2 then (e + 1) / 2.0 else 0.5 * (1 + cos(pi() * least((e - 2) / 58.0, 1))) end, 9) as factor from (select unnest(range(60)) as e)""")
+def learning_rate(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(60).select(F.col("id").alias("epoch"), R(calibrate.cosine_warmup(F.col("id"), 2, 60), 9).alias("factor"))
+
+
+@query("select sensor_id, datetime, aqi as value from hourly where datetime is not null and aqi is not null and not isnan(aqi)")
+def feed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Readings written as the pages of a feed and read back."""
+    rows = read_table(spark, d, "hourly").where(~F.coalesce(F.isnan("aqi"), F.lit(False)))
+    one = F.struct(F.col("aqi").alias("value"), F.struct(F.struct(F.col("datetime").alias("utc")).alias("datetimeFrom")).alias("period"))
+    pages = rows.select("sensor_id", F.to_json(F.struct(F.array(one).alias("results"))).alias("body"))
+    return parse_hours(pages)
+
+
+@query(f"""with {HOURLY_SQL}, {DAYS_SQL}, last as (select max(cast(datetime as timestamp)) as t from hourly where try_cast(datetime as timestamp) is not null and location_id is not null and pm25_ugm3 >= 0 and pm25_ugm3 <= 1000 and not isnan(pm25_ugm3))
+select station, day, n_hours, round(day_mean_aqi, 6) as day_mean_aqi, round(within_day_var, 4) as within_day_var from days, last where day + interval 1 day <= t - interval 2 day""")
+def streaming_daily(spark: SparkSession, d: str) -> DataFrame:
+    """The per-day table from the stream of the readings' files, all there are in one batch: the days
+    that were over two days before the last reading."""
+    out = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(read_table(spark, d, "hourly").schema).parquet(f"{d}/hourly.parque[t]")  # a pattern, since one file is no folder
+    run_available(daily_stream(stream), f"{out}/days", f"{out}/state")
+    days = spark.read.schema("station long, day date, n_hours long, day_mean_aqi double, within_day_var double").parquet(f"{out}/days")
+    return days.withColumns({"day_mean_aqi": R("day_mean_aqi"), "within_day_var": R("within_day_var", 4)})

@@ -44,13 +44,40 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Folders written in this process and not yet removed.
+_WRITTEN: set[str] = set()
+
+
 def write_between(df: DataFrame, label: str) -> DataFrame:
     """`df`, written once into the shared folder and read again.
 
     It cuts the lineage: what follows may read it several times, and a lost executor costs
-    no recomputation of what came before. The files live as long as the shared folder.
+    no recomputation of what came before. The files stay until `forget`, `forget_all` or the
+    end of the shared folder, since the frames that read them may run at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+    _WRITTEN.discard(path)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Removes the files of frames that `write_between` returned and that nothing reads any more."""
+    for df in frames:
+        _remove(df.sparkSession, df._written)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Removes all files written between steps in this process; every result must have been used."""
+    for path in list(_WRITTEN):
+        _remove(spark, path)

@@ -8,10 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from airledger.session import local_session
+    from airledger.session import forget_all, local_session
 
     session = local_session("8", 8, "6g")
     yield session
+    forget_all(session)
     session.stop()
 
 

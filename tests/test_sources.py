@@ -115,3 +115,29 @@ def test_config(tmp_path):
     assert (found.seed, found.split.train, found.split.cal) == (7, 0.5, 0.15)
     with pytest.raises(AttributeError):
         found.nothing
+
+
+def test_http(tmp_path):
+    import threading
+    import urllib.error
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from airledger.sources.feeds import http_json
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            good = self.headers["X-API-Key"] == "key" and self.path == "/v?page=2"
+            self.send_response(200 if good else 403)
+            self.end_headers()
+            self.wfile.write(b'{"results": []}')
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v"
+    assert http_json(url, "key", {"page": 2}) == {"results": []}
+    with pytest.raises(urllib.error.HTTPError):
+        http_json(url, "other", {"page": 2})
+    server.shutdown()
