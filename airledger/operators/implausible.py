@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,23 +127,24 @@ def _stretches(one: DataFrame, low: float, high: float) -> DataFrame:
     return placed.select("*", own.alias("own"), F.explode(homes).alias("stretch"))
 
 
-def _decomposed(pdf: pd.DataFrame) -> pd.DataFrame:
+def _decomposed(table: pa.Table) -> pa.Table:
     """The readings of a stretch that have a remainder or a run, and, with null times, how often
     each change occurs in it (`height` holds the number)."""
-    pdf = pdf.sort_values("pos")
-    parts = decompose(pdf["t"].to_numpy(), pdf["x"].to_numpy(), pdf["place"].to_numpy())
-    core = (pdf["own"] == pdf["stretch"]).to_numpy()
-    source = pdf["source"].iloc[0]
+    table = table.combine_chunks()
+    order = np.argsort(table["pos"].to_numpy())
+    t, x, place, own, stretch = (table[c].to_numpy()[order] for c in ("t", "x", "place", "own", "stretch"))
+    parts = decompose(t, x, place)
+    core = own == stretch
     changes, often = np.unique(parts["change"][core & ~np.isnan(parts["change"])], return_counts=True)
     told = core & (parts["stuck"] | (parts["remainder"] > 0))
-    n = int(told.sum())
-    return pd.DataFrame({
-        "source": pd.Series([source] * (len(changes) + n), dtype=pdf["source"].dtype),
-        "t": pd.array([None] * len(changes) + pdf["t"].to_numpy()[told].tolist(), dtype="Int64"),
+    k, n = len(changes), int(told.sum())
+    return pa.table({
+        "source": pa.repeat(table["source"][0], k + n),
+        "t": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(t[told], pa.int64())]),
         "change": np.concatenate([changes, np.zeros(n)]),
-        "stuck": np.concatenate([np.zeros(len(changes), dtype=bool), parts["stuck"][told]]),
+        "stuck": np.concatenate([np.zeros(k, dtype=bool), parts["stuck"][told]]),
         "height": np.concatenate([often.astype(float), parts["height"][told]]),
-        "remainder": np.concatenate([np.zeros(len(changes)), parts["remainder"][told]]),
+        "remainder": np.concatenate([np.zeros(k), parts["remainder"][told]]),
     })
 
 
@@ -206,7 +208,7 @@ def implausible_readings(
     parts = (
         _stretches(one, low, high)
         .groupBy("source", "stretch")
-        .applyInPandas(_decomposed, f"source {kind}, t long, change double, stuck boolean, height double, remainder double")
+        .applyInArrow(_decomposed, f"source {kind}, t long, change double, stuck boolean, height double, remainder double")
     )
     parts = write_between(parts, "remainders")
 
