@@ -102,7 +102,8 @@ def decompose(t: np.ndarray, x: np.ndarray, place: np.ndarray, longest: int = 3,
 
 
 def _stretches(one: DataFrame, low: float, high: float) -> DataFrame:
-    """(source, stretch, core, place, pos, t, x): in-range readings by stretch, with halo.
+    """(source, stretch, pos, out, t, x): in-range readings by stretch, with halo; `pos` is a reading's
+    number along its source and `out` that of the out-of-range readings before it.
 
     Numbers along a source are counted by day first and summed over the days of a source, so
     that no task sorts a whole source.
@@ -120,11 +121,11 @@ def _stretches(one: DataFrame, low: float, high: float) -> DataFrame:
         one.select("*", F.count(F.lit(1)).over(inside).alias("n_in"), F.count_if(fine).over(inside).alias("fine_in"))
         .where(fine)
         .join(days, F.col("source").eqNullSafe(F.col("source_")) & (F.col("day") == F.col("day_")))
-        .select("source", "t", "x", (F.col("n_before") + F.col("n_in")).alias("place"), (F.col("fine_before") + F.col("fine_in") - 1).alias("pos"))
+        .select("source", "t", "x", (F.col("fine_before") + F.col("fine_in") - 1).alias("pos"), (F.col("n_before") + F.col("n_in") - F.col("fine_before") - F.col("fine_in")).alias("out"))
     )
     own, into = floor_div(F.col("pos"), STRETCH), F.pmod(F.col("pos"), F.lit(STRETCH))
     homes = F.array_compact(F.array(own, F.when((into < HALO) & (own > 0), own - 1), F.when(into >= STRETCH - HALO, own + 1)))
-    return placed.select("*", own.alias("own"), F.explode(homes).alias("stretch"))
+    return placed.select("*", F.explode(homes).alias("stretch"))
 
 
 def _decomposed(table: pa.Table) -> pa.Table:
@@ -132,9 +133,9 @@ def _decomposed(table: pa.Table) -> pa.Table:
     each change occurs in it (`height` holds the number)."""
     table = table.combine_chunks()
     order = np.argsort(table["pos"].to_numpy())
-    t, x, place, own, stretch = (table[c].to_numpy()[order] for c in ("t", "x", "place", "own", "stretch"))
-    parts = decompose(t, x, place)
-    core = own == stretch
+    t, x, pos, out, stretch = (table[c].to_numpy()[order] for c in ("t", "x", "pos", "out", "stretch"))
+    parts = decompose(t, x, pos + out)
+    core = pos // STRETCH == stretch
     changes, often = np.unique(parts["change"][core & ~np.isnan(parts["change"])], return_counts=True)
     told = core & (parts["stuck"] | (parts["remainder"] > 0))
     k, n = len(changes), int(told.sum())

@@ -57,7 +57,7 @@ def write_between(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
