@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +44,6 @@ def isotonic_fit(cal: DataFrame, x: str, y: str, block: int = 4096) -> DataFrame
     ranges in order, so the result is that of one pass. The second pass sees one row per
     block left, not the data.
     """
-    import numpy as np
-    import pandas as pd
-
     means = cal.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("v"), F.count("*").cast("double").alias("w"))
     ranked = with_row_number(means, [F.col("x")], "rank").withColumn("part", F.floor((F.col("rank") - 1) / block))
 
@@ -119,7 +120,5 @@ def ensemble_mean(members: DataFrame, key: str, columns: list[str]) -> DataFrame
 
 def cosine_warmup(epoch: Column, warmup: int, most: int) -> Column:
     """Learning-rate factor: a straight rise, then half a cosine down to 0."""
-    import math
-
     share = (epoch - warmup) / float(max(1, most - warmup))
     return F.when(epoch < warmup, (epoch + 1) / float(max(1, warmup))).otherwise(0.5 * (1 + F.cos(F.lit(math.pi) * F.least(share, F.lit(1.0)))))

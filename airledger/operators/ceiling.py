@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,8 +140,6 @@ def bootstrap_r2max(days: DataFrame, hist: DataFrame, var_labels: DataFrame, dra
 
 def poisson_steps(most: int = 8) -> list[float]:
     """Distribution function of a Poisson count with mean 1, up to `most`."""
-    import math
-
     out, total = [], 0.0
     for k in range(most):
         total += math.exp(-1) / math.factorial(k)

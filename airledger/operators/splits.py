@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import md5_key, with_row_number
+from .ranks import md5_key, with_row_number, with_running_sum
 from .shares import fill_shares
 
 #: The splits, in the order that breaks ties, with the usual shares.
@@ -130,8 +130,6 @@ def weighted_sample(df: DataFrame, weight: str, n: int, key: str = "_row", seed:
     Draw i falls at a fixed random point of the running sum of weights; points and rows meet
     by bucket of that sum, a row in every bucket that it reaches into.
     """
-    from .ranks import with_running_sum
-
     spark = df.sparkSession
     run = with_running_sum(df.select(F.col(key).alias("key"), F.col(weight).alias("w")), [F.col("key")], F.col("w"), "upto")
     total = run.agg(F.max("upto")).first()[0]
