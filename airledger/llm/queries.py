@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timestamps import with_instant
 from ..operators.readings import DAY_US, floor_div, is_number
+from ..session import write_between
 from ..sources import read_table
 from .lookalikes import canonical_texts, lookalike_pairs
 from .overlap import cross_split_pairs, overlap_counts
@@ -38,39 +39,43 @@ def _placed_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def day_summaries(spark: SparkSession, d: str) -> DataFrame:
-    """A summary of `aqi` for each location and day."""
-    return summarise(_placed_values(spark, d), ["country", "location_id", "day"], "aqi")
+    """A summary of `aqi` for each country, location and day: the table that further days or files
+    are combined with. It is written once."""
+    return write_between(summarise(_placed_values(spark, d), ["country", "location_id", "day"], "aqi"), "summaries")
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per location and day, per location, and per country, each brought together
-    from the summaries one step finer."""
+    """Percentiles per location and day, per location and per country, each combined from the
+    summaries of days. A null location, country or day is a key of its own."""
     days = day_summaries(spark, d)
-    locations = combine(days, ["country", "location_id"])
-    countries = combine(locations, ["country"])
     text = lambda c: F.col(c).cast("string")
     scope = lambda df, name, key, day: df.select(F.lit(name).alias("scope"), key.alias("key"), day.alias("day"), "n", *QUANTILES, "rank_error")
     none = F.lit(None).cast("date")
+    places = combine(days, ["country", "location_id"])  # a step between days and countries, so that no task merges all days of all places
+    by_day = percentiles(combine(days, ["location_id", "day"]), ["location_id", "day"], QUANTILES)
+    by_location = percentiles(combine(places, ["location_id"]), ["location_id"], QUANTILES)
+    by_country = percentiles(combine(places, ["country"]), ["country"], QUANTILES)
     return (
-        scope(percentiles(days, ["country", "location_id", "day"], QUANTILES), "location_day", text("location_id"), F.date_from_unix_date(F.col("day").cast("int")))
-        .unionByName(scope(percentiles(locations, ["country", "location_id"], QUANTILES), "location", text("location_id"), none))
-        .unionByName(scope(percentiles(countries, ["country"], QUANTILES), "country", text("country"), none))
+        scope(by_day, "location_day", text("location_id"), F.date_from_unix_date(F.col("day").cast("int")))
+        .unionByName(scope(by_location, "location", text("location_id"), none))
+        .unionByName(scope(by_country, "country", text("country"), none))
     )
 
 
 def p2_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per location and day alone; exact for days of fewer values than a buffer holds."""
-    return percentiles(day_summaries(spark, d), ["location_id", "day"], QUANTILES)
+    keys = ["location_id", "day"]
+    return percentiles(combine(day_summaries(spark, d), keys), keys, QUANTILES)
 
 
 def p2_bounds(spark: SparkSession, d: str) -> DataFrame:
     """(scope, key, n, within): whether the true ranks of the percentiles per location and country are
     within their bounds, by counting all values on either side of each."""
     values = _placed_values(spark, d)
-    locations = combine(summarise(values, ["country", "location_id"], "aqi"), ["country", "location_id"])
+    places = combine(day_summaries(spark, d), ["country", "location_id"])
     out = None
-    for scope, summaries, key in (("location", locations, "location_id"), ("country", combine(locations, ["country"]), "country")):
-        read = percentiles(summaries, [key], QUANTILES).withColumnsRenamed({key: "key", "n": "total"})
+    for scope, key in (("location", "location_id"), ("country", "country")):
+        read = percentiles(combine(places, [key]), [key], QUANTILES).withColumnsRenamed({key: "key", "n": "total"})
         joined = values.join(read, values[key].eqNullSafe(read["key"]))
         counts = [c for q in QUANTILES for c in (F.count_if(F.col("aqi") < F.col(q)).alias(f"{q}_under"), F.count_if(F.col("aqi") <= F.col(q)).alias(f"{q}_upto"))]
         counted = joined.groupBy("key").agg(F.count("*").alias("n"), F.max("rank_error").alias("err"), F.max("total").alias("total"), *counts)
