@@ -37,6 +37,28 @@ def with_running_sum(df: DataFrame, order: list[Column], value: Column, out: str
     return numbered.drop("__range", "__inside", "__offset", "__run_in", "__run_before", "__run_value")
 
 
+def with_last_before(df: DataFrame, marks: DataFrame, at: str, value: str) -> DataFrame:
+    """`df` with `value` of the last row of `marks` whose `at` is not past its own; null before the first.
+
+    Both tables stand in one order of `at`, cut into ranges and written once; inside a range the
+    last mark is carried along, between ranges the last mark of each, one row per range. No
+    key of either side is matched with another, so neither can be hot. Rows of `df` whose
+    `at` is null are left out; of marks at one place the last by `value` holds.
+    """
+    own = df.where(F.col(at).isNotNull()).select(F.col(at).cast("double").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(dict(marks.dtypes)[value]).alias("__mark"), F.struct(*df.columns).alias("__row"))
+    other = marks.where(F.col(at).isNotNull()).select(F.col(at).cast("double").alias("__at"), F.lit(0).alias("__kind"), F.col(value).alias("__mark"))
+    order = [F.col("__at"), F.col("__kind"), F.col("__mark")]
+    both = own.unionByName(other, allowMissingColumns=True).repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    both = write_between(both, "ranges")
+    ranges = both.select("__range").distinct()
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    carried = both.where("__kind = 0").groupBy("__range").agg(F.max_by("__mark", F.struct("__at", "__mark")).alias("__last"))
+    carried = ranges.join(carried, "__range", "left").select("__range", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = both.withColumn("__own", F.last("__mark", ignorenulls=True).over(inside)).where("__kind = 1").join(carried, "__range")
+    return marked.select("__row.*", F.coalesce("__own", "__carried").alias(value))
+
+
 def with_average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """`df` with the rank of `value` among all rows, equal values sharing their average rank.
 

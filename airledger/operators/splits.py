@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import md5_key, with_row_number, with_running_sum
+from .ranks import md5_key, with_last_before, with_row_number, with_running_sum
 from .shares import fill_shares
 
 #: The splits, in the order that breaks ties, with the usual shares.
@@ -127,16 +127,13 @@ def half_split(df: DataFrame, station: str = "station_id", seed: int = 42) -> Da
 def weighted_sample(df: DataFrame, weight: str, n: int, key: str = "_row", seed: int = 42) -> DataFrame:
     """(draw, key): `n` draws with replacement, each row in proportion to its weight.
 
-    Draw i falls at a fixed random point of the running sum of weights; points and rows meet
-    by bucket of that sum, a row in every bucket that it reaches into.
+    Draw i falls at a fixed random point of the running sum of weights, and takes the row whose
+    share of the sum begins last before it. Rows without a positive weight are never drawn.
     """
-    spark = df.sparkSession
-    run = with_running_sum(df.select(F.col(key).alias("key"), F.col(weight).alias("w")), [F.col("key")], F.col("w"), "upto")
-    total = run.agg(F.max("upto")).first()[0]
-    if not total:
-        return run.select(F.lit(0).cast("long").alias("draw"), F.col("key").alias(key)).limit(0)
-    wide = total / max(1, n)
+    rows = df.where(F.col(weight) > 0).select(F.col(key).alias("key"), F.col(weight).alias("w"))
+    run = with_running_sum(rows, [F.col("key")], F.col("w"), "upto")
+    total = run.agg(F.max("upto")).first()[0] or 0.0
     at = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"#{seed}"))), 1, 12), 16, 10).cast("double") / float(16**12) * total
-    draws = spark.range(n).select(F.col("id").alias("draw"), at.alias("at")).withColumn("bucket", F.floor(F.col("at") / wide))
-    rows = run.withColumn("low", F.col("upto") - F.col("w")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / wide), F.floor(F.col("upto") / wide))))
-    return draws.join(rows, "bucket").where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("upto"))).select("draw", F.col("key").alias(key))
+    draws = df.sparkSession.range(n if total else 0).select(F.col("id").alias("draw"), at.alias("at"))
+    marks = run.select((F.col("upto") - F.col("w")).alias("at"), "key")
+    return with_last_before(draws, marks, "at", "key").select("draw", F.col("key").alias(key))

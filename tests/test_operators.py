@@ -392,3 +392,18 @@ def test_pipeline(spark):
     assert same.agg(F.sum("c")).first()[0] == 2 * sum(range(60))
     huber = spark.range(1).agg(pipeline.combined_loss(F.lit(100.0), {"q": (F.log(F.lit(100.0)), 0.5)}, F.lit(3.0), 100.0, 1.0, huber=1.0)).first()[0]
     assert near(huber, 2.5)
+
+
+def test_last_before(spark):
+    rng = random.Random(9)
+    marks = [(rng.choice([None, *map(float, range(50))]), i) for i in range(40)]
+    rows = [(i, rng.choice([None, rng.uniform(-5, 60), float(rng.randint(0, 50))])) for i in range(300)]
+    got = {r["k"]: r["mark"] for r in ranks.with_last_before(spark.createDataFrame(rows, "k long, at double").repartition(4), spark.createDataFrame(marks, "at double, mark long"), "at", "mark").collect()}
+    for k, at in rows:
+        if at is not None:
+            fit = [(a, m) for a, m in marks if a is not None and a <= at]
+            assert got.pop(k) == (max(fit)[1] if fit else None)
+    assert not got
+    none = spark.createDataFrame([], "k long, at double")
+    assert ranks.with_last_before(none, spark.createDataFrame(marks, "at double, mark long"), "at", "mark").collect() == []
+    assert splits.weighted_sample(spark.createDataFrame([(1, 0.0)], "_row long, w double"), "w", 5).collect() == []
