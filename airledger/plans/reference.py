@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aqi
 from ..operators import abstain, calibrate, ceiling, clean, duplicates, pipeline, scores, splits
+from ..operators.ranks import md5_key
 from ..session import shared_dir
 from ..sources import read_table
 from ..sources.feeds import folder_rollup, match_folder, parse_hours, stratified_sensors
@@ -62,9 +63,15 @@ def aqi_category_hist(spark: SparkSession, d: str) -> DataFrame:
 
 # hourly readings
 
-HOURLY_SQL = f"""hc as (
-  select location_id as station, cast(try_cast(datetime as timestamp) as date) as day, {aqi.sql_pm25_to_aqi('pm25_ugm3')} as aqi
+
+
+def hourly_sql(convention: int = 2012) -> str:
+    return f"""hc as (
+  select location_id as station, cast(try_cast(datetime as timestamp) as date) as day, {aqi.sql_pm25_to_aqi('pm25_ugm3', convention)} as aqi
   from hourly where location_id is not null and try_cast(datetime as timestamp) is not null and pm25_ugm3 >= 0 and pm25_ugm3 <= 1000 and not isnan(pm25_ugm3))"""
+
+
+HOURLY_SQL = hourly_sql()
 DAYS_SQL = """days as (
   select station, day, count(*) as n_hours, avg(aqi) as day_mean_aqi, var_samp(aqi) as within_day_var from hc group by 1, 2 having count(*) >= 18)"""
 CURVE_SQL = f"""curve as (
@@ -720,3 +727,68 @@ def streaming_daily(spark: SparkSession, d: str) -> DataFrame:
     run_available(daily_stream(stream), f"{out}/days", f"{out}/state")
     days = spark.read.schema("station long, day date, n_hours long, day_mean_aqi double, within_day_var double").parquet(f"{out}/days")
     return days.withColumns({"day_mean_aqi": R("day_mean_aqi"), "within_day_var": R("within_day_var", 4)})
+
+
+# comparisons
+
+
+def _convention_sql(convention: int) -> str:
+    return f"""(with {hourly_sql(convention)}, {DAYS_SQL}, {CURVE_SQL}, {HIST_SQL}, {FULL_SQL}
+select {convention} as convention, round(sum(case when covered then p * v end) / sum(case when covered then p end), 4) as var_epsilon,
+  round(least(greatest(1 - sum(case when covered then p * v end) / sum(case when covered then p end) / (select var_pop(pm25) from photos where not isnan(pm25)), 0), 1), 6) as r2_max from full_curve)"""
+
+
+@query(f"{_convention_sql(2012)} union all {_convention_sql(2024)}")
+def ceiling_by_convention(spark: SparkSession, d: str) -> DataFrame:
+    """How much the ceiling depends on the index convention."""
+    out = None
+    for convention in (2012, 2024):
+        fine = ceiling.clean_hourly(read_table(spark, d, "hourly"), convention=convention)
+        row = ceiling.error_ceiling(fine, read_table(spark, d, "photos"), "pm25").select(F.lit(convention).alias("convention"), R("var_epsilon", 4).alias("var_epsilon"), R("r2_max").alias("r2_max"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"""{UNSURE_SQL}, t as (select row_id, e, round(u, 9) as width, e as oracle, md5(cast(row_id as varchar) || '|#{SEED}') as m from u where split = 'test'),
+c as (select 'width' as signal, e, row_number() over (order by width, row_id) as k from t union all select 'oracle', e, row_number() over (order by oracle, row_id) from t union all select 'random', e, row_number() over (order by m, row_id) from t),
+r as (select signal, k, count(*) over (partition by signal) as n, sum(e) over (partition by signal order by k rows unbounded preceding) / k as risk from c)
+select signal, round(sum(risk * case when k in (1, n) then 0.5 else 1 end) / max(n), 4) as aurc from r group by 1""")
+def aurc_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Area under risk against coverage of the interval width, of a random order and of the error itself."""
+    rows = _unsure(spark, d).where("split = 'test'")
+    signals = {"width": R("u", 9), "oracle": F.col("e"), "random": F.conv(F.substring(md5_key(F.col("row_id")), 1, 15), 16, 10).cast("double")}
+    out = None
+    for name, signal in signals.items():
+        one = abstain.risk_areas(rows.withColumn("signal", signal), "signal", "e", "row_id").select(F.lit(name).alias("signal"), R("aurc", 4).alias("aurc"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""with {PHOTOS_SQL}, {predictions_sql()}, {predictions_sql(True, 'leaky')},
+a as (select {_POINT_SQL} from (select y, point as p from pred where split = 'test')), b as (select {_POINT_SQL} from (select y, point as p from leaky where split = 'test'))
+select round(a.mae - b.mae, 5) as delta_mae, round(b.r2 - a.r2, 5) as delta_r2 from a, b""")
+def leakage_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """How much better a leaky split looks than a safe one."""
+    rows = leakage_gradient(spark, d)
+    at = lambda s, c: F.max(F.when(F.col("strategy") == s, F.col(c)))
+    return rows.agg(R(at("station", "mae") - at("random", "mae"), 5).alias("delta_mae"), R(at("random", "r2") - at("station", "r2"), 5).alias("delta_r2"))
+
+
+@query(f"""{ISO_SQL}, t as (select y, point, case when point <= (select min(x) from fit) then (select arg_min(f, x) from fit) when point >= (select max(x) from fit) then (select arg_max(f, x) from fit)
+  else (select f + (point - x) * (nf - f) / (nx - x) from fit where x <= point and nx > point) end as iso from leaky where split = 'test'),
+u as (select 'raw' as point, y, point as p from t union all select 'recalibrated', y, iso from t)
+select point, {_POINT_SQL} from u group by 1""")
+def recalibration_report(spark: SparkSession, d: str) -> DataFrame:
+    pred = predictions(spark, d, leaky=True)
+    xs, ys = calibrate.knots(calibrate.isotonic_fit(pred.where("split = 'cal'"), "point", "y"))
+    test = pred.where("split = 'test'")
+    both = test.select(F.lit("raw").alias("point"), "y", F.col("point").alias("p")).unionByName(test.select(F.lit("recalibrated").alias("point"), "y", calibrate.apply_knots(F.col("point"), xs, ys).alias("p")))
+    return both.groupBy("point").agg(*scores.point_scores(F.col("y"), F.col("p")))
+
+
+@query(f"""{CONF_SQL} select 'raw' as intervals, round(avg(case when y >= q05 and y <= q95 then 1.0 else 0 end), 6) as coverage, round(avg(q95 - q05), 6) as mean_width from pred where split = 'test'
+union all select 'calibrated', round(avg(case when y >= low and y <= high then 1.0 else 0 end), 6), round(avg(high - low), 6) from wide""")
+def coverage_before_after(spark: SparkSession, d: str) -> DataFrame:
+    raw = predictions(spark, d).where("split = 'test'")
+    named = [df.select(F.lit(n).alias("intervals"), "y", "q05", "q95") for n, df in (("raw", raw), ("calibrated", _calibrated(spark, d)))]
+    return named[0].unionByName(named[1]).groupBy("intervals").agg(*scores.interval_scores(F.col("y"), F.col("q05"), F.col("q95")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="airledger-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     context.setCheckpointDir(made)
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
