@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +79,21 @@ def isotonic_fit(cal: DataFrame, x: str, y: str, block: int = 4096) -> DataFrame
 
 
 def apply_knots(point: Column, xs: list[float], ys: list[float]) -> Column:
-    """Straight lines between knots, level beyond the ends, at least 0. Knots are a short fitted list."""
-    if not xs:
-        return F.lit(None).cast("double")
-    out = F.when(point.isNull() | F.isnan(point), None).when(point <= xs[0], float(ys[0]))
-    for a, b, c, d in zip(xs, xs[1:], ys, ys[1:]):
-        if b > a:
-            out = out.when(point <= b, F.lit(float(c)) + (point - a) * float((d - c) / (b - a)))
-    return F.when(point.isNotNull() & ~F.isnan(point), F.greatest(out.otherwise(float(ys[-1])), F.lit(0.0)))
+    """Straight lines between knots, level beyond the ends, at least 0; null for null and NaN, and
+    where there are no knots.
+
+    Arrow batches and a search in the sorted knots: a chain of conditions would grow with
+    their number.
+    """
+
+    @F.arrow_udf("double")
+    def read(point: pa.Array) -> pa.Array:
+        x = point.to_numpy(zero_copy_only=False)
+        none = np.isnan(x) if xs else np.ones(len(x), dtype=bool)
+        y = np.maximum(np.interp(x, xs, ys), 0.0) if xs else np.zeros(len(x))
+        return pa.array(y, pa.float64(), mask=none)
+
+    return read(point.cast("double"))
 
 
 def knots(fit: DataFrame, limit: int = 100_000) -> tuple[list[float], list[float]]:

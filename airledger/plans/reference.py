@@ -451,10 +451,11 @@ def predict_batch(spark: SparkSession, d: str) -> DataFrame:
     """Serving: recalibrated point, interval, gate and category of every test row."""
     pred = predictions(spark, d, leaky=True)
     xs, ys = calibrate.knots(calibrate.isotonic_fit(pred.where("split = 'cal'"), "point", "y"))
-    out = calibrate.widen(pred.where("split = 'test'"), calibrate.conformal_q(pred.where("split = 'cal'"), "y", "q05", "q95"), "q05", "q95")
+    test = pred.where("split = 'test'").withColumn("point", calibrate.apply_knots(F.col("point"), xs, ys))
+    out = calibrate.widen(test, calibrate.conformal_q(pred.where("split = 'cal'"), "y", "q05", "q95"), "q05", "q95")
     width = abstain.log_width(F.greatest("q05", F.lit(1e-6)), F.col("q95"))
     gate = abstain.decide(F.lit(0.0), width, F.lit(0.5), F.lit(3.0), F.lit("out of distribution"))
-    point = calibrate.apply_knots(F.col("point"), xs, ys)
+    point = F.col("point")
     return out.select("row_id", R(point, 1).alias("aqi"), R("q05", 1).alias("low"), R("q95", 1).alias("high"), aqi.category(point).alias("category"), gate["answer"].alias("answer"), gate["reason"].alias("reason"))
 
 
