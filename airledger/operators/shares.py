@@ -27,6 +27,8 @@ def fill_shares(groups: DataFrame, shares: dict[str, float], held: dict[str, flo
     held = held or {}
     names, whole = list(shares), sum(shares.values())
     count = groups.agg(F.sum("n")).first()[0] or 0
+    if not count:
+        return groups.select("component", "n", F.lit(names[0]).alias("split")).limit(0)
     total = count + sum(held.values())
     lacks = {s: shares[s] / whole * total - held.get(s, 0) for s in names}
 

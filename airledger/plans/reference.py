@@ -381,6 +381,19 @@ def pinball_loss(spark: SparkSession, d: str) -> DataFrame:
 LEAKY_SQL = f"with {PHOTOS_SQL}, {predictions_sql(True, 'leaky')}"
 
 
+ISO_SQL = f"""{LEAKY_SQL}, pts as (select point as x, avg(y) as v, count(*)::double as w from leaky where split = 'cal' group by 1),
+c as (select x, row_number() over (order by x) as k, sum(v * w) over (order by x rows unbounded preceding) as sv, sum(w) over (order by x rows unbounded preceding) as sw, v * w as own, w from pts),
+avgs as (select i.k as i, j.k as j, (j.sv - i.sv + i.own) / (j.sw - i.sw + i.w) as a from c i join c j on j.k >= i.k),
+mins as (select i, k, min(a) as low from avgs join (select k from c) on k >= i and j >= k group by 1, 2),
+fit as (select x, greatest(max(low), 0) as f, lead(x) over (order by x) as nx, lead(greatest(max(low), 0)) over (order by x) as nf from mins join c using (k) group by 1)"""
+_ISO_POINT = """case when point <= (select min(x) from fit) then (select arg_min(f, x) from fit) when point >= (select max(x) from fit) then (select arg_max(f, x) from fit)
+  else (select f + (point - x) * (nf - f) / (nx - x) from fit where x <= point and nx > point) end"""
+WIDE_SQL = f"""e as (select greatest(q05 - y, y - q95) as e, row_number() over (order by greatest(q05 - y, y - q95)) as k, count(*) over () as n from leaky where split = 'cal'),
+q as (select e as q from e where k = least(ceil((n + 1) * 0.9::double) + 1, n)),
+wide as (select row_id, y, {_ISO_POINT} as p, greatest(q05 - q, 0) as low, q95 + q as high from leaky, q where split = 'test')"""
+_CATEGORY_SQL = f"case {aqi.sql_category_index('p')} " + " ".join(f"when {i} then '{n}'" for i, (_, n) in enumerate(aqi.CATEGORIES)) + " end"
+
+
 @query(f"""{LEAKY_SQL}, t as (select y, point as p from leaky where split = 'test'),
 r as (select y, p, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as rp from t)
 select count(*) as n, round(corr(y, p), 6) as pearson, round(corr(ry, rp), 6) as spearman from r""")
@@ -446,7 +459,8 @@ def isotonic_fit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(calibrate.isotonic_fit(predictions(spark, d, leaky=True).where("split = 'cal'"), "point", "y"), "x", "fitted")
 
 
-@query()
+@query(f"""{ISO_SQL}, {WIDE_SQL}, g as (select *, ln(high) - ln(greatest(low, 1e-6)) > 3 as broad from wide)
+select row_id, round(p, 4) as aqi, round(low, 4) as low, round(high, 4) as high, {_CATEGORY_SQL} as category, not broad as answer, case when broad then 'interval too wide' else 'ok' end as reason from g""")
 def predict_batch(spark: SparkSession, d: str) -> DataFrame:
     """Serving: recalibrated point, interval, gate and category of every test row."""
     pred = predictions(spark, d, leaky=True)
@@ -456,7 +470,7 @@ def predict_batch(spark: SparkSession, d: str) -> DataFrame:
     width = abstain.log_width(F.greatest("q05", F.lit(1e-6)), F.col("q95"))
     gate = abstain.decide(F.lit(0.0), width, F.lit(0.5), F.lit(3.0), F.lit("out of distribution"))
     point = F.col("point")
-    return out.select("row_id", R(point, 1).alias("aqi"), R("q05", 1).alias("low"), R("q95", 1).alias("high"), aqi.category(point).alias("category"), gate["answer"].alias("answer"), gate["reason"].alias("reason"))
+    return out.select("row_id", R(point, 4).alias("aqi"), R("q05", 4).alias("low"), R("q95", 4).alias("high"), aqi.category(point).alias("category"), gate["answer"].alias("answer"), gate["reason"].alias("reason"))
 
 
 @query(f"{PRED_SQL} select round(avg(y), 6) as y_mean, round(stddev_pop(y) + 1e-6, 6) as y_std from pred where split = 'train'")
@@ -624,7 +638,10 @@ def compare_strategies(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.compare_strategies(photos(spark, d), ("station_grouped", "random", "geographic", "temporal"))
 
 
-@query()
+@query(f"""{ISO_SQL}, {WIDE_SQL} select {_POINT_SQL}, round(avg(case when y >= low and y <= high then 1.0 else 0 end), 6) as coverage, round(avg(high - low), 6) as mean_width,
+  round(avg(case when {aqi.sql_category_index('y')} = {aqi.sql_category_index('p')} then 1.0 else 0 end), 6) as category_accuracy,
+  (select count(*) from leaky where split = 'train') as n_train, (select count(*) from leaky where split = 'test') as n_test,
+  (select count(*) from (select station_id from leaky where station_id is not null group by 1 having count(distinct split) > 1)) as straddling from wide""")
 def evaluate_split(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.evaluate_split(predictions(spark, d, leaky=True))
 
@@ -663,12 +680,6 @@ def refuse_rate(spark: SparkSession, d: str) -> DataFrame:
 
 # outputs of models
 
-ISO_SQL = f"""{LEAKY_SQL}, pts as (select point as x, avg(y) as v, count(*)::double as w from leaky where split = 'cal' group by 1),
-c as (select x, row_number() over (order by x) as k, sum(v * w) over (order by x rows unbounded preceding) as sv, sum(w) over (order by x rows unbounded preceding) as sw, v * w as own, w from pts),
-avgs as (select i.k as i, j.k as j, (j.sv - i.sv + i.own) / (j.sw - i.sw + i.w) as a from c i join c j on j.k >= i.k),
-mins as (select i, k, min(a) as low from avgs join (select k from c) on k >= i and j >= k group by 1, 2),
-fit as (select x, greatest(max(low), 0) as f, lead(x) over (order by x) as nx, lead(greatest(max(low), 0)) over (order by x) as nf from mins join c using (k) group by 1)"""
-
 
 @query(f"""{ISO_SQL}, t as (select row_id, point from leaky where split = 'test')
 select row_id, round(case when point <= (select min(x) from fit) then (select arg_min(f, x) from fit) when point >= (select max(x) from fit) then (select arg_max(f, x) from fit)
