@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aqi
+from ..functions.timestamps import with_instant
 from ..operators import abstain, calibrate, ceiling, clean, duplicates, pipeline, scores, splits
 from ..operators.ranks import md5_key
+from ..operators.readings import is_number
 from ..session import shared_dir
 from ..sources import read_table
 from ..sources.feeds import folder_rollup, match_folder, parse_hours, stratified_sensors
@@ -88,8 +90,15 @@ full_curve as (
 NOISE_SQL = f"with {HOURLY_SQL}, {DAYS_SQL}, {CURVE_SQL}, {HIST_SQL}, {FULL_SQL}"
 
 
-def _clean(spark: SparkSession, d: str) -> DataFrame:
-    return ceiling.clean_hourly(read_table(spark, d, "hourly"))
+def _timed(spark: SparkSession, d: str, value: str = "pm25_ugm3", hourly: DataFrame | None = None) -> DataFrame:
+    """The readings of `hourly` (or of a stream of it) whose `value` is a number, with the instant that `date` names as `at`."""
+    rows = read_table(spark, d, "hourly") if hourly is None else hourly
+    timed = with_instant(rows.where(is_number(F.col(value))), read_table(spark, d, "locations"))
+    return timed.withColumn("at", F.timestamp_micros("utc_us"))
+
+
+def _clean(spark: SparkSession, d: str, convention: int = 2012) -> DataFrame:
+    return ceiling.clean_hourly(_timed(spark, d), time="at", convention=convention)
 
 
 @query(f"with {HOURLY_SQL} select station, day, count(*) as n, round(sum(aqi), 4) as total from hc group by 1, 2")
@@ -722,9 +731,11 @@ def learning_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select sensor_id, datetime, aqi as value from hourly where datetime is not null and aqi is not null and not isnan(aqi)")
 def feed_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Readings written as the pages of a feed and read back."""
-    rows = read_table(spark, d, "hourly").where(~F.coalesce(F.isnan("aqi"), F.lit(False)))
-    one = F.struct(F.col("aqi").alias("value"), F.struct(F.struct(F.col("datetime").alias("utc")).alias("datetimeFrom")).alias("period"))
+    """Readings written as the pages of a feed and read back; each page has the instant that `date` names."""
+    rows = _timed(spark, d, "aqi")
+    fraction = F.when(F.pmod("utc_us", F.lit(1_000_000)) != 0, F.date_format("at", ".SSSSSS")).otherwise("")
+    utc = F.concat(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+    one = F.struct(F.col("aqi").alias("value"), F.struct(F.struct(utc.alias("utc")).alias("datetimeFrom")).alias("period"))
     pages = rows.select("sensor_id", F.to_json(F.struct(F.array(one).alias("results"))).alias("body"))
     return parse_hours(pages)
 
@@ -736,7 +747,7 @@ def streaming_daily(spark: SparkSession, d: str) -> DataFrame:
     that were over two days before the last reading."""
     out = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(read_table(spark, d, "hourly").schema).parquet(f"{d}/hourly.parque[t]")  # a pattern, since one file is no folder
-    run_available(daily_stream(stream), f"{out}/days", f"{out}/state")
+    run_available(daily_stream(_timed(spark, d, hourly=stream), time="at"), f"{out}/days", f"{out}/state")
     days = spark.read.schema("station long, day date, n_hours long, day_mean_aqi double, within_day_var double").parquet(f"{out}/days")
     return days.withColumns({"day_mean_aqi": R("day_mean_aqi"), "within_day_var": R("within_day_var", 4)})
 
@@ -755,8 +766,7 @@ def ceiling_by_convention(spark: SparkSession, d: str) -> DataFrame:
     """How much the ceiling depends on the index convention."""
     out = None
     for convention in (2012, 2024):
-        fine = ceiling.clean_hourly(read_table(spark, d, "hourly"), convention=convention)
-        row = ceiling.error_ceiling(fine, read_table(spark, d, "photos"), "pm25").select(F.lit(convention).alias("convention"), R("var_epsilon", 4).alias("var_epsilon"), R("r2_max").alias("r2_max"))
+        row = ceiling.error_ceiling(_clean(spark, d, convention), read_table(spark, d, "photos"), "pm25").select(F.lit(convention).alias("convention"), R("var_epsilon", 4).alias("var_epsilon"), R("r2_max").alias("r2_max"))
         out = row if out is None else out.unionByName(row)
     return out
 

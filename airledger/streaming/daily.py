@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.aqi import pm25_to_aqi
 
 
-def daily_stream(readings: DataFrame, min_hours: int = 18, late: str = "2 days", convention: int = 2012, most: float = 1000.0) -> DataFrame:
+def daily_stream(readings: DataFrame, min_hours: int = 18, late: str = "2 days", convention: int = 2012, most: float = 1000.0, time: str = "datetime") -> DataFrame:
     """(station, day, n_hours, day_mean_aqi, within_day_var) of a stream of readings (location_id,
-    datetime, pm25_ugm3), a row once a day is over and `late` has passed.
+    `time`, pm25_ugm3), a row once a day is over and `late` has passed.
 
     State is one running aggregate per station and open day; readings later than `late`
     are dropped. On the same rows it gives what the batch operator gives.
     """
-    at = F.try_to_timestamp(F.col("datetime"))
+    at = F.try_to_timestamp(F.col(time))
     x = F.col("pm25_ugm3").try_cast("double")
     rows = readings.select(F.col("location_id").alias("station"), at.alias("at"), x.alias("c")).where(F.col("station").isNotNull() & F.col("at").isNotNull() & (F.col("c") >= 0) & (F.col("c") <= most))
     rows = rows.withWatermark("at", late).select("station", "at", pm25_to_aqi(F.col("c"), convention).alias("aqi"))
