@@ -668,7 +668,9 @@ def combined_loss(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {PHOTOS_SQL}, r as (select _row, pm25, row_number() over (order by pm25, _row) as k from ph) select _row, pm25 from r where (k - 1) % 37 = 0 and k <= 37 * 40")
 def every_kth(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.every_kth(photos(spark, d).select("_row", "pm25"), [F.col("pm25"), F.col("_row")], 37, 40)
+    """At most 40 photos along the whole range of labels: the step follows from the number of rows."""
+    rows = photos(spark, d).select("_row", "pm25")
+    return pipeline.every_kth(rows, [F.col("pm25"), F.col("_row")], max(1, rows.count() // 40), 40)
 
 
 @query(f"""with {PHOTOS_SQL} {' union all '.join(f"(select '{n}' as target, _row, pm25 from ph order by abs(pm25 - {t}), _row limit 1)" for n, t in (("low", 20.0), ("middle", 80.0), ("high", 300.0)))}""")
