@@ -74,9 +74,9 @@ def five_channel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transmission_label_correlation(spark: SparkSession, d: str) -> DataFrame:
-    """Transmission against the mean label of the picture's vectors."""
+    """Transmission against the mean label of the picture's vectors, over all pictures."""
     labels = read_table(spark, d, "embeddings").groupBy(F.call_function("div", "vec_id", F.lit(3)).alias("image")).agg(F.avg("label").alias("label"))
-    return label_correlation(mean_transmission(spark, d).join(labels, "image"), "mean_t", "label", "image")
+    return label_correlation(mean_transmission(spark, d).join(labels, "image"), "mean_t", "label", "image", n=None)
 
 
 QUERIES = {f.__name__: f for f in (transmission_of_pixels, mean_transmission, inv_saturation_pixels, handcrafted_ood, phash_features, five_channel, transmission_label_correlation)}
