@@ -117,7 +117,7 @@ def per_split_r2max(splits: DataFrame, split: str, label: str, var_epsilon: Data
     return per.join(F.broadcast(var_epsilon.select("var_epsilon")), how="cross").select(split, "var_labels", r2_max(F.col("var_epsilon"), F.col("var_labels")).alias("r2_max"))  # one row
 
 
-def bootstrap_r2max(days: DataFrame, hist: DataFrame, var_labels: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
+def bootstrap_r2max(days: DataFrame, hist: DataFrame, var_labels: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
     """One row (n_boot, median, low, high) of r2_max with stations drawn anew.
 
     Instead of drawing S of S stations, each draw gives every station a count from the
