@@ -83,6 +83,35 @@ def order_statistic(df: DataFrame, value: str, rank: Column, n_name: str = "n")
     return hit.where((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)).select(n_name, value)
 
 
+def running_by_key(counts: DataFrame, keys: list[str], value: str, weight: str, out: str = "upto") -> DataFrame:
+    """`counts` (keys, value, weight; one row each) with the sum of `weight` up to each value of its key.
+
+    The rows are cut into ranges of (keys, value) and written once, so that a key with many
+    values is spread over ranges; what lies before a range is one row a key and range.
+    """
+    order = [F.col(c) for c in (*keys, value)]
+    ranged = counts.select(*keys, value, weight).repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    ranged = write_between(ranged, "ranges")
+    sums = ranged.groupBy(*keys, "__range").agg(F.sum(weight).alias("__s"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
+    sums = sums.select(*(F.col(c).alias(f"__{c}") for c in keys), F.col("__range").alias("__at"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    inside = F.sum(weight).over(Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    joined = ranged.withColumn("__in", inside).join(sums, [*same, F.col("__range") == F.col("__at")])
+    return joined.select(*keys, value, weight, (F.col("__in") + F.col("__before")).alias(out))
+
+
+def middle_values(counts: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """(keys, n, middle): the exact median of `value`, which occurs `weight` times, and the number of
+    values for each key. A null key is a key; `value` must not be null."""
+    upto = running_by_key(counts, keys, value, weight)
+    totals = counts.groupBy(*keys).agg(F.sum(weight).alias("n")).withColumnsRenamed({c: f"__{c}" for c in keys})
+    both = upto.join(totals, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    at = lambda rank: F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col(weight) < rank), F.col(value)))
+    return both.groupBy(*keys).agg(F.max("n").alias("n"), ((at(low) + at(high)) / 2).alias("middle"))
+
+
 def md5_key(*parts: Column, seed: int = 42) -> Column:
     """A key whose order is a fixed random order of the rows: md5 of the parts and the seed."""
     return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts), F.lit(f"#{seed}")))

@@ -6,7 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
-from airledger.operators.implausible import HALO, STRETCH, closing, decompose, implausible_readings, opening, pulse_height
+from airledger.functions.stats import esd_limit
+from airledger.operators import implausible
+from airledger.operators.implausible import HALO, STRETCH, esd_floor, esd_limits, implausible_readings, pulse_height, running_median, seasonal_profile
 from airledger.plans import general
 
 H = 3_600_000_000
@@ -15,13 +17,32 @@ SCHEMA = "reading_id long, sensor_id long, utc_us long, aqi double, day string,
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=40))
-def test_remainder_is_at_least_the_height(values):
-    """What makes every spike a candidate."""
+def test_trend_is_a_median_of_neighbours(values):
     x = np.array(values, dtype=float)
-    t = np.arange(len(x)) * H
-    parts = decompose(t, x, np.arange(len(x)))
-    assert np.all(parts["remainder"] >= np.maximum(parts["height"], 0))
-    assert np.all(opening(x, 3) <= x) and np.all(closing(x, 3) >= x)
+    n, width = len(x), min(len(x), 11)
+    for k, got in enumerate(running_median(x)):
+        start = min(max(k - 5, 0), max(n - 11, 0))
+        assert got == np.median(x[start : start + width])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=60), st.integers(1, 3))
+def test_outliers_step_by_step(sizes, scale):
+    """The test as it is stated: take the most extreme value away, again and again; the last one beyond its limit decides."""
+    left, outliers, gone = sorted(sizes), 0, []
+    for i in range(1, len(sizes) // 2 + 1):
+        gone.append(left.pop())
+        limit = float(esd_limit(np.array([len(sizes)]), np.array([i]))[0]) if len(sizes) - i + 1 >= 3 else np.inf
+        if gone[-1] > limit * scale:
+            outliers = i
+    floor = esd_floor(np.array(sizes, dtype=float), float(scale), esd_limits(100, 0.05))
+    assert floor == (gone[outliers - 1] if outliers else np.inf)
+
+
+def test_season_by_hand():
+    off, hour = np.array([1.0, 2, 9, 3, 0, 1, 8, 4, 5, 7]), np.array([3] * 7 + [5, 5, 7])
+    got = seasonal_profile(off, hour)
+    assert got[3] == 2 and not np.delete(got, 3).any()  # hours with fewer than seven readings have no part of their own
 
 
 def test_height_by_hand():
@@ -97,3 +118,45 @@ def test_whole_table_like_row_by_row(spark, small):
     rows = [tuple(r) for r in general.timed_readings(spark, small).select("reading_id", "sensor_id", "utc_us", "aqi").collect()]
     got = [r[0] for r in general.p4_found(spark, small).collect()]
     assert len(got) == len(set(got)) and set(got) == brute.implausible(rows)
+
+
+def restless(sensor, first, spike):
+    """A sensor that is stuck for most of its time, so that its median change is 0.1 while it moves by
+    some 5 when it moves; one reading really stands out."""
+    rng = random.Random(sensor)
+    x = [50 + rng.gauss(0, 5) for _ in range(60)]
+    for k in range(9):
+        x += [60 + k + 0.1 * (j % 2 * (j // 2 % 2)) for j in range(12)]
+        x += [50 + rng.gauss(0, 5) for _ in range(2)]
+    x[spike] = 400.0
+    return [(first + k, sensor, k * H, round(v, 1), "d", 1) for k, v in enumerate(x)]
+
+
+def test_outlier_test_decides(spark, monkeypatch):
+    """Plain movement that is tall against a median change pressed down by dull stretches is no outlier:
+    without the test the stated height alone would flag it."""
+    rows = restless(1, 0, 30)
+    with_test = flagged(spark, rows)
+    monkeypatch.setattr(implausible, "esd_floor", lambda size, scale, limits: 0.0)
+    without = flagged(spark, rows)
+    assert 30 in with_test and with_test < without
+
+
+@pytest.mark.parametrize("stretch", [16, 100])
+def test_stretches_like_whole_sources(spark, monkeypatch, stretch):
+    rows = made(5) + restless(100, 10**6, 30) + restless(None, 10**7, 12)
+    rows += [(10**8 + k, 200, k * H, 9.0, "d", 1) for k in range(200)]
+    whole = sorted(tuple(r) for r in implausible_readings(spark.createDataFrame(rows, SCHEMA)).collect())
+    monkeypatch.setattr(implausible, "STRETCH", stretch)
+    cut = sorted(tuple(r) for r in implausible_readings(spark.createDataFrame(rows, SCHEMA), together=0).collect())
+    assert cut == whole and {r for _, r in cut} == {"range", "stuck", "spike"}
+
+
+def test_one_source_with_most_rows(spark, small):
+    """A sensor with nine tenths of all rows, among them one reading delivered many times."""
+    base = general.timed_readings(spark, small).where("reading_id % 3 = 0").select("reading_id", "sensor_id", "utc_us", "aqi")
+    hot = base.where("sensor_id is not null").selectExpr("reading_id", "case when reading_id % 10 < 9 then -1 else sensor_id end as sensor_id", "utc_us", "aqi")
+    rows = hot.unionByName(spark.range(6000).selectExpr("10000000 + id as reading_id", "-1L as sensor_id", "1700000000000000L as utc_us", "5.0D as aqi"))
+    cut = {tuple(r) for r in implausible_readings(rows).collect()}
+    whole = {tuple(r) for r in implausible_readings(rows, together=20000).collect()}
+    assert cut == whole and len(cut) > 50
