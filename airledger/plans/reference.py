@@ -17,6 +17,7 @@ from ..session import shared_dir
 from ..sources import read_table
 from ..sources.feeds import folder_rollup, match_folder, parse_hours, stratified_sensors
 from ..streaming.daily import daily_stream, run_available
+from .general_sql import TIMED_SQL
 from .views import PHOTOS_SQL, SEED, group_split_sql, photos, predictions, predictions_sql, shares
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,9 +69,9 @@ def aqi_category_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hourly_sql(convention: int = 2012) -> str:
-    return f"""hc as (
-  select location_id as station, cast(try_cast(datetime as timestamp) as date) as day, {aqi.sql_pm25_to_aqi('pm25_ugm3', convention)} as aqi
-  from hourly where location_id is not null and try_cast(datetime as timestamp) is not null and pm25_ugm3 >= 0 and pm25_ugm3 <= 1000 and not isnan(pm25_ugm3))"""
+    return f"""{TIMED_SQL}, hc as (
+  select location_id as station, cast(make_timestamp(utc_us) as date) as day, {aqi.sql_pm25_to_aqi('pm25_ugm3', convention)} as aqi
+  from timed where location_id is not null and utc_us is not null and pm25_ugm3 >= 0 and pm25_ugm3 <= 1000 and not isnan(pm25_ugm3))"""
 
 
 HOURLY_SQL = hourly_sql()
@@ -167,7 +168,7 @@ def per_split_r2max(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {HOURLY_SQL}, {DAYS_SQL}, {HIST_SQL},
 cells as (select station, {aqi.sql_band('day_mean_aqi')} as band_idx, sum(within_day_var) as s, count(within_day_var) as n from days group by 1, 2),
-draws as (select *, (('0x' || substr(md5(cast(station as varchar) || '#' || cast(b as varchar) || '#0'), 1, 12))::bigint)::double / 281474976710656.0 as u from cells, (select unnest(range(200)) as b)),
+draws as (select *, (('0x' || substr(md5(cast(station as varchar) || '#' || cast(b as varchar) || '#0'), 1, 12))::bigint)::double / 281474976710656.0 as u from cells, (select unnest(range(1000)) as b)),
 drawn as (select *, {'case ' + ' '.join(f'when u < {t!r}::double then {k}' for k, t in enumerate(ceiling.poisson_steps())) + ' else 8 end'} as times from draws),
 per as (select b, band_idx, sum(s * times) / nullif(sum(n * times), 0) as v from drawn where times > 0 group by 1, 2),
 eps as (select b, sum(p * v) / sum(p) as ve from per join hist using (band_idx) where p > 0 and v is not null group by 1),
@@ -666,7 +667,7 @@ def combined_loss(spark: SparkSession, d: str) -> DataFrame:
     return pred.where("split = 'test'").agg(R(pipeline.combined_loss(F.col("y"), logs, z, stats["y_mean"], stats["y_std"])).alias("loss"))
 
 
-@query(f"with {PHOTOS_SQL}, r as (select _row, pm25, row_number() over (order by pm25, _row) as k from ph) select _row, pm25 from r where (k - 1) % 37 = 0 and k <= 37 * 40")
+@query(f"with {PHOTOS_SQL}, r as (select _row, pm25, row_number() over (order by pm25, _row) - 1 as k, greatest(1, count(*) over () // 40) as step from ph) select _row, pm25 from r where k % step = 0 and k < step * 40")
 def every_kth(spark: SparkSession, d: str) -> DataFrame:
     """At most 40 photos along the whole range of labels: the step follows from the number of rows."""
     rows = photos(spark, d).select("_row", "pm25")
@@ -731,7 +732,8 @@ def learning_rate(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(60).select(F.col("id").alias("epoch"), R(calibrate.cosine_warmup(F.col("id"), 2, 60), 9).alias("factor"))
 
 
-@query("select sensor_id, datetime, aqi as value from hourly where datetime is not null and aqi is not null and not isnan(aqi)")
+@query(f"""with {TIMED_SQL} select sensor_id, strftime(make_timestamp(utc_us), '%Y-%m-%dT%H:%M:%S') || case when utc_us % 1000000 <> 0 then strftime(make_timestamp(utc_us), '.%f') else '' end || 'Z' as datetime, aqi as value
+from timed where utc_us is not null and aqi is not null and not isnan(aqi)""")
 def feed_pages(spark: SparkSession, d: str) -> DataFrame:
     """Readings written as the pages of a feed and read back; each page has the instant that `date` names."""
     rows = _timed(spark, d, "aqi")
@@ -742,7 +744,7 @@ def feed_pages(spark: SparkSession, d: str) -> DataFrame:
     return parse_hours(pages)
 
 
-@query(f"""with {HOURLY_SQL}, {DAYS_SQL}, last as (select max(cast(datetime as timestamp)) as t from hourly where try_cast(datetime as timestamp) is not null and location_id is not null and pm25_ugm3 >= 0 and pm25_ugm3 <= 1000 and not isnan(pm25_ugm3))
+@query(f"""with {HOURLY_SQL}, {DAYS_SQL}, last as (select max(make_timestamp(utc_us)) as t from timed where utc_us is not null and location_id is not null and pm25_ugm3 >= 0 and pm25_ugm3 <= 1000 and not isnan(pm25_ugm3))
 select station, day, n_hours, round(day_mean_aqi, 6) as day_mean_aqi, round(within_day_var, 4) as within_day_var from days, last where day + interval 1 day <= t - interval 2 day""")
 def streaming_daily(spark: SparkSession, d: str) -> DataFrame:
     """The per-day table from the stream of the readings' files, all there are in one batch: the days

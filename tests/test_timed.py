@@ -1,45 +1,6 @@
-"""The queries on hourly labels take a reading's time from `date`, against SQL over the instants."""
-
-import glob
-import os
-
-import duckdb
-import pytest
-from test_queries import plain
+"""The queries on hourly labels take a reading's time from `date`."""
 
 from airledger.plans import reference
-from airledger.plans.general_sql import TIMED_SQL
-
-NAMES = (
-    "hourly_clean", "within_day_variance", "within_day_deviation_quantiles", "noise_curve", "level_reweighted_var", "level_reweighted_var_conservative",
-    "error_ceiling", "per_split_r2max", "bootstrap_r2max", "ceiling_by_convention", "streaming_daily", "feed_pages",
-)
-#: `hourly` as the registered SQL reads it, with the instant of `date` in place of the feed's `datetime`.
-HOURLY = f"""create table hourly as with {TIMED_SQL.replace("from hourly h", "from hourly_file h")}
-select * replace (strftime(make_timestamp(utc_us), '%Y-%m-%dT%H:%M:%S') || case when utc_us % 1000000 <> 0 then strftime(make_timestamp(utc_us), '.%f') else '' end || 'Z' as datetime) from timed"""
-
-
-@pytest.fixture(scope="module")
-def duck(tiny):
-    con = duckdb.connect()
-    con.execute("set timezone = 'UTC'")
-    for path in glob.glob(f"{tiny}/*.parquet"):
-        name = os.path.basename(path)[:-8]
-        con.execute(f"create view {'hourly_file' if name == 'hourly' else name} as select * from '{path}'")
-    con.execute(HOURLY)
-    return con
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_times_from_date(spark, tiny, duck, name):
-    df = reference.QUERIES[name](spark, tiny)
-    columns = sorted(df.columns)
-    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    sql = reference.SQL[name].replace("unnest(range(200)) as b", "unnest(range(1000)) as b")  # the draws of the reference
-    result = duck.execute(sql)
-    names = [x[0] for x in result.description]
-    want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
-    assert got == want and got
 
 
 def test_more_than_datetime(spark, small):
