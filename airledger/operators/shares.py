@@ -7,58 +7,92 @@ from pyspark.sql import functions as F
 
 from ..session import write_between
 
-#: A group with more than this share of all records is placed one by one, the largest first;
-#: there can be fewer than 1 / SHARE of them.
-SHARE = 0.001
+#: What a part lacks is counted in such fractions of a record, so that all sums are whole numbers.
+FRACTION = 1000
+
+
+def deal(lacks: list[int], size: int, count: int) -> list[int]:
+    """How many of `count` groups of one size each part gets, if each group in turn goes to the part
+    that lacks most, the first of them on ties.
+
+    Part i offers the places lacks[i], lacks[i] - size, lacks[i] - 2 * size, ...; going to the
+    largest lack in turn takes the `count` highest of them. The height of the last one is found
+    by halving, so the work doesn't grow with `count`.
+    """
+    if count == 1:
+        best = max(range(len(lacks)), key=lambda i: lacks[i])
+        return [int(i == best) for i in range(len(lacks))]
+    above = lambda v: [max(0, (x - v) // size + 1) for x in lacks]  # noqa: E731 - places at v or higher
+    low, high = min(lacks) - size * count, max(lacks)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(above(middle)) >= count else (low, middle - 1)
+    given = above(low + 1)
+    for i, x in enumerate(lacks):
+        if sum(given) < count and x >= low and (x - low) % size == 0:
+            given[i] += 1
+    return given
+
+
+def plan_parts(histogram: dict[int, int], lacks: list[int]) -> dict[int, list[int]]:
+    """By size of groups: how many of its groups each part gets. The largest groups are dealt first."""
+    lacks, plan = list(lacks), {}
+    for size in sorted(histogram, reverse=True):
+        plan[size] = deal(lacks, size * FRACTION, histogram[size])
+        lacks = [x - size * FRACTION * k for x, k in zip(lacks, plan[size])]
+    return plan
+
+
+def targets(shares: dict[str, float], total: int) -> list[int]:
+    """What each part should hold, in fractions of a record; shares are scaled to sum 1."""
+    whole = sum(shares.values())
+    return [round(s / whole * total * FRACTION) for s in shares.values()]
+
+
+def size_histogram(groups: DataFrame) -> dict[int, int]:
+    """Number of groups by size: at most sqrt(2 * records) rows, since sizes that differ add up."""
+    return {r["n"]: r["c"] for r in groups.groupBy("n").agg(F.count("*").alias("c")).collect()}
+
+
+def numbered(groups: DataFrame, seed: int = 42) -> DataFrame:
+    """`groups` (component, n) with `number`, from 0 along a fixed random order of the groups of one size.
+
+    Groups are numbered by bucket of their random key, so that a size which most groups have
+    is spread over 65,536 of them.
+    """
+    keyed = groups.select("component", "n", F.md5(F.concat(F.col("component").cast("string"), F.lit(f"#{seed}"))).alias("key")).withColumn("bucket", F.substring("key", 1, 4))
+    before = Window.partitionBy("n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows
+    offsets = keyed.groupBy("n", "bucket").agg(F.count("*").alias("c")).select("n", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("n", "bucket").orderBy("key", "component")) - 1
+    return keyed.withColumn("inside", inside).join(offsets, ["n", "bucket"]).select("component", "n", (F.col("offset") + F.col("inside")).alias("number"))
+
+
+def placed(groups: DataFrame, plan: dict[int, list[int]], names: list[str], out: str = "split") -> DataFrame:
+    """Numbered groups with the part that the plan gives them: of one size, the first go to the part named first.
+
+    The plan is broadcast: it has a row a size, so at most sqrt(2 * records) of them.
+    """
+    rows = [(size, [sum(counts[: i + 1]) for i in range(len(names))]) for size, counts in plan.items()]
+    ends = groups.sparkSession.createDataFrame(rows, "n long, ends array<long>")
+    part = F.lit(names[-1])
+    for i in reversed(range(len(names) - 1)):
+        part = F.when(F.col("number") < F.get("ends", F.lit(i)), names[i]).otherwise(part)
+    return groups.join(F.broadcast(ends), "n").select("component", "n", part.alias(out))
 
 
 def fill_shares(groups: DataFrame, shares: dict[str, float], held: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
     """`groups` (component, n) with the column `split`.
 
-    Each split lacks its share of all records less what it holds already (`held`). Large
-    groups go one by one, largest first, into the split that lacks most (the first named on
-    ties); the driver sees at most 1 / SHARE of them, since each has that share of all
-    records. The others stand in a fixed random order, which is cut where the splits' lacks
-    are used up; sums along it are taken by bucket first. Every share is met to within one
-    small group at each cut. Shares are scaled to sum 1; groups need unique, non-null
-    components.
+    Each split lacks its share of all records less what it holds already (`held`). The groups
+    go one by one, the largest first, into the split that then lacks most (the first named on
+    ties). Groups of one size can stand for each other, so the driver plans with the number
+    of groups of each size; which of them a split gets follows a fixed random order. Shares
+    are scaled to sum 1; groups need unique, non-null components and at least one record
+    each. An empty table gives no rows.
     """
     groups = write_between(groups.select("component", "n"), "groups")
-    held = held or {}
-    names, whole = list(shares), sum(shares.values())
-    count = groups.agg(F.sum("n")).first()[0] or 0
-    if not count:
-        return groups.select("component", "n", F.lit(names[0]).alias("split")).limit(0)
-    total = count + sum(held.values())
-    lacks = {s: shares[s] / whole * total - held.get(s, 0) for s in names}
-
-    cut = SHARE * total
-    large = groups.where(F.col("n") > cut).orderBy(F.desc("n"), "component").collect()  # fewer than 1 / SHARE rows
-    chosen = []
-    for row in large:
-        split = max(names, key=lambda s: lacks[s])
-        chosen.append((row["component"], row["n"], split))
-        lacks[split] -= row["n"]
-    rest = count - sum(r["n"] for r in large)
-    open_ = {s: max(0.0, lacks[s]) for s in names}
-    sum_open = sum(open_.values())
-    ends, at = [], 0.0
-    for s in names:
-        at += (open_[s] / sum_open if sum_open else shares[s] / whole) * rest
-        ends.append((s, at))
-
-    small = groups.where(F.col("n") <= cut).withColumn("key", F.md5(F.concat(F.col("component").cast("string"), F.lit(f"#{seed}"))))
-    small = small.withColumn("bucket", F.substring("key", 1, 3))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
-    offsets = small.groupBy("bucket").agg(F.sum("n").alias("in_bucket")).select("bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("offset"))
-    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("key", "component").rowsBetween(Window.unboundedPreceding, 0))
-    small = small.withColumn("upto", upto).join(offsets, "bucket")
-    middle = F.col("offset") + F.col("upto") - F.col("n") / 2
-    split = F.lit(ends[-1][0])
-    for s, end in reversed(ends[:-1]):
-        split = F.when(middle < F.lit(end), s).otherwise(split)
-    out = small.select("component", "n", split.alias("split"))
-    if chosen:
-        kind = dict(groups.dtypes)["component"]
-        out = out.unionByName(groups.sparkSession.createDataFrame(chosen, f"component {kind}, n long, split string"))
-    return out
+    held, names = held or {}, list(shares)
+    histogram = size_histogram(groups)
+    total = sum(n * c for n, c in histogram.items()) + sum(held.values())
+    lacks = [x - FRACTION * held.get(s, 0) for s, x in zip(names, targets(shares, total))]
+    return placed(numbered(groups, seed), plan_parts(histogram, lacks), names)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_between
 from .ranks import md5_key, with_last_before, with_row_number, with_running_sum
-from .shares import fill_shares
+from .shares import fill_shares, numbered, placed, plan_parts, size_histogram, targets
 
 #: The splits, in the order that breaks ties, with the usual shares.
 SHARES = {"train": 0.65, "cal": 0.15, "test": 0.20}
@@ -34,7 +35,7 @@ def temporal_split(df: DataFrame, time: str = "captured_at", key: str = "_row",
 
 
 def grouped_split(df: DataFrame, group: Column, shares: dict[str, float] = SHARES, seed: int = 42) -> DataFrame:
-    """Whole groups to splits, filling what each split lacks. Rows with a null group are left out."""
+    """Whole groups to splits: the largest first, each to the split that then lacks most rows. Rows with a null group are left out."""
     df = df.withColumn("__group", group.cast("string")).where(F.col("__group").isNotNull())
     sizes = df.groupBy(F.col("__group").alias("component")).agg(F.count("*").alias("n"))
     placed = fill_shares(sizes, shares, seed=seed).select(F.col("component").alias("__group"), "split")
@@ -93,20 +94,26 @@ def straddling(df: DataFrame, station: str = "station_id") -> DataFrame:
 def cv_folds(df: DataFrame, folds: int = 5, cal_share: float = 0.1875, station: str = "station_id", seed: int = 42) -> DataFrame:
     """(station, n, fold, role) with every station in every fold: test once, else cal or train.
 
-    Stations are dealt to test folds of equal shares; of the others in a fold, a part of
-    `cal_share` becomes cal. Only the table of station sizes is handled, and the folds share it.
+    Stations go to test folds of equal shares, the largest first to the fold that then holds
+    least; of the others in a fold, a part of `cal_share` becomes cal in the same way. Only
+    the table of station sizes is handled, and the driver plans all folds from the number of
+    stations of each size. Rows without a station are left out.
     """
-    sizes = df.where(F.col(station).isNotNull()).groupBy(station).agg(F.count("*").alias("n"))
-    groups = sizes.select(F.col(station).cast("string").alias("component"), "n")
-    dealt = fill_shares(groups, {str(k): 1 / folds for k in range(folds)}, seed=seed)
-    out = None
+    sizes = df.where(F.col(station).isNotNull()).groupBy(F.col(station).cast("string").alias("component")).agg(F.count("*").alias("n"))
+    sizes = write_between(sizes, "stations")
+    histogram = size_histogram(sizes)
+    total = sum(n * c for n, c in histogram.items())
+    names = [str(k) for k in range(folds)]
+    plan = plan_parts(histogram, targets(dict.fromkeys(names, 1 / folds), total))
+    dealt = placed(numbered(sizes, seed), plan, names, "fold")
+    dealt = write_between(dealt.withColumn("fold", F.col("fold").cast("int")), "folds")
+    out = dealt.select(F.col("component").alias(station), "n", "fold", F.lit("test").alias("role"))
     for k in range(folds):
-        others = dealt.where(F.col("split") != str(k)).select("component", "n")
-        roles = fill_shares(others, {"train": 1 - cal_share, "cal": cal_share}, seed=seed + k)
-        one = roles.unionByName(dealt.where(F.col("split") == str(k)).select("component", "n", F.lit("test").alias("split")))
-        one = one.select(F.lit(k).alias("fold"), F.col("component").alias(station), "n", F.col("split").alias("role"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        others = {n: c - plan[n][k] for n, c in histogram.items() if c > plan[n][k]}
+        parts = plan_parts(others, targets({"train": 1 - cal_share, "cal": cal_share}, sum(n * c for n, c in others.items())))
+        roles = placed(numbered(dealt.where(F.col("fold") != k), seed + k), parts, ["train", "cal"], "role")
+        out = out.unionByName(roles.select(F.col("component").alias(station), "n", F.lit(k).alias("fold"), "role"))
+    return out.select("fold", station, "n", "role")
 
 
 def balanced_weights(df: DataFrame, label_band: Column, power: float = 0.5) -> DataFrame:

@@ -71,39 +71,27 @@ def predictions_sql(leaky: bool = False, name: str = "pred") -> str:
   from {name}_rows r left join {name}_zones z using (zone) cross join {name}_whole w {join})"""
 
 
-def group_split_sql(source: str, shares: dict[str, float], name: str = "placed", seed: int = SEED) -> str:
-    """Recursive SQL of whole groups into shares: large groups one by one, the rest by cut.
+def group_split_sql(source: str, shares: dict[str, float] | str, name: str = "placed", seed: int = SEED) -> str:
+    """Recursive SQL of whole groups into shares, one group after the other: the largest goes first, each
+    to the part that then lacks most, the first named on ties. Of groups of one size, those first
+    in the fixed random order get the part named first.
 
-    `source` is a relation (component, n).
+    `source` is a relation (component, n); `shares` are numbers, or a relation (k, split, share).
     """
-    names, whole = list(shares), sum(shares.values())
-    lack0 = ", ".join(f"({shares[s]!r}::double / {whole!r}::double * total) as l{i}" for i, s in enumerate(names))
-    best = "case " + " ".join(f"when {' and '.join(f'l{i} >= l{j}' for j in range(len(names)) if j != i)} then {i}" for i in range(len(names) - 1)) + f" else {len(names) - 1} end"
-    step = ", ".join(f"l{i} - case when pick = {i} then n else 0 end" for i in range(len(names)))
-    opened = ", ".join(f"greatest(0, l{i}) as o{i}" for i in range(len(names)))
-    total_open = " + ".join(f"o{i}" for i in range(len(names)))
-    ends = ", ".join(f"({' + '.join(f'o{j}' for j in range(i + 1))}) / nullif({total_open}, 0) * rest as e{i}" for i in range(len(names) - 1))
-    choose = "case " + " ".join(f"when middle < e{i} then '{s}'" for i, s in enumerate(names[:-1])) + f" else '{names[-1]}' end"
-    picked = "case pick " + " ".join(f"when {i} then '{s}'" for i, s in enumerate(names)) + " end"
-    ls = ", ".join(f"l{i}" for i in range(len(names)))
-    return f"""{name}_src as (select cast(component as varchar) component, n from {source}),
+    if not isinstance(shares, str):
+        shares = "(" + " union all ".join(f"select {k} as k, '{s}' as split, {x!r}::double as share" for k, (s, x) in enumerate(shares.items())) + ")"
+    most = "list_position(lacks, list_max(lacks))"
+    return f"""{name}_src as (select cast(component as varchar) component, n::bigint as n from {source}),
 {name}_tot as (select coalesce(sum(n), 0)::double as total from {name}_src),
-{name}_big as (select component, n, row_number() over (order by n desc, component) as k from {name}_src, {name}_tot where n > {0.001!r}::double * total),
+{name}_sh as (select any_value(total) as total, list(split order by k) as names, list(share order by k) as sh, sum(share order by k) as whole from {shares}, {name}_tot),
+{name}_order as (select component, n, row_number() over (order by n desc, component) as k from {name}_src),
 {name}_walk as (
-  select 0::bigint as k, cast(null as varchar) as component, 0::bigint as n, -1 as pick, {lack0} from {name}_tot
+  select 0::bigint as k, 0::bigint as n, 0 as pick, list_transform(sh, lambda x: round_even(x / whole * total * 1000, 0)::bigint) as lacks from {name}_sh
   union all
-  select k, component, n, pick, {step} from (
-    select b.k, b.component, b.n, {best} as pick, {ls} from {name}_walk w join {name}_big b on b.k = w.k + 1)),
-{name}_last as (select * from {name}_walk order by k desc limit 1),
-{name}_ends as (
-  select {ends} from (select {opened}, (select total - (select coalesce(sum(n), 0) from {name}_big) from {name}_tot) as rest from {name}_last)),
-{name}_small as (
-  select component, n, sum(n) over (order by md5(component || '#{seed}'), component rows unbounded preceding) - n / 2.0 as middle
-  from {name}_src where component not in (select component from {name}_big)),
-{name} as (
-  select component, n, {picked} as split from {name}_walk where k > 0
-  union all
-  select component, n, {choose} as split from {name}_small, {name}_ends)"""
+  select b.k, b.n, {most}, list_transform(lacks, lambda x, i: case when i = {most} then x - b.n * 1000 else x end) from {name}_walk w join {name}_order b on b.k = w.k + 1),
+{name}_picks as (select n, pick, row_number() over (partition by n order by pick) as nth from {name}_walk where k > 0),
+{name}_ranked as (select component, n, row_number() over (partition by n order by md5(component || '#{seed}'), component) as nth from {name}_src),
+{name} as (select r.component, r.n, names[p.pick] as split from {name}_ranked r join {name}_picks p using (n, nth), {name}_sh)"""
 
 
 def shares() -> dict[str, float]:
