@@ -7,55 +7,71 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_between
 from .graph import connected_components
 
 BITS = 64
+#: Blocks that the bits of two fingerprints beyond `distance` are dealt to: two of them agree.
+SPARE = 2
+#: A bucket in which both sides have more values than this is divided by further bits.
+FULL = 4096
+#: One value in so many is counted to find full buckets. It steers the plan; no result depends on it.
+COUNTED = 64
 
 
-def block_masks(blocks: int, distance: int) -> list[int]:
-    """Bit masks such that any two fingerprints within `distance` agree under one of them.
+def block_masks(mask: int, distance: int) -> list[int]:
+    """Masks that hold the bits of `mask` and more, such that any two fingerprints which agree under
+    `mask` and are within `distance` agree under one of them.
 
-    The bits are dealt to the blocks in turn, so that bits which hardly vary are spread over
-    all blocks; of `blocks` blocks at most `distance` differ, the others agree.
+    The bits left are dealt to distance + 2 blocks in turn, so that bits which hardly vary are
+    spread over all of them; at most `distance` blocks differ, so two agree. None if too few
+    bits are left to divide.
     """
-    dealt = [sum(1 << b for b in range(k, BITS, blocks)) for k in range(blocks)]
     signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
-    return [signed(sum(dealt[k] for k in chosen)) for chosen in combinations(range(blocks), blocks - distance)]
-
-
-def blocks_for(n: int, distance: int) -> int:
-    """Blocks enough that random fingerprints rarely agree under a mask by chance.
-
-    More fingerprints need longer masks, of which there are more; any number is exact.
-    """
-    for blocks in range(distance + 1, distance + 5):
-        if 2 ** (BITS * (blocks - distance) / blocks * 0.85) >= n:
-            return blocks
-    return distance + 5
-
-
-def near_values(left: DataFrame, right: DataFrame, distance: int, n: int) -> DataFrame:
-    """(left_print, right_print): distinct fingerprints of the two sides (column `print`) that
-    differ in at most `distance` bits. Exact; each pair comes from the first mask it agrees under.
+    left, blocks = [b for b in range(BITS) if not mask >> b & 1], distance + SPARE
+    if len(left) < 2 * blocks:
+        return []
+    dealt = [sum(1 << b for b in left[k::blocks]) for k in range(blocks)]
+    return [signed(mask % (1 << BITS) | sum(dealt[k] for k in chosen)) for chosen in combinations(range(blocks), SPARE)]
+
+
+def near_values(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
+    """(left_print, right_print): distinct fingerprints of the two sides (column `print`, distinct)
+    that differ in at most `distance` bits.
+
+    Exact, with the same masks for any number of fingerprints: two within the distance meet
+    in a bucket under one of them. Where a bucket is full on both sides, its values are
+    divided by the bits that its mask leaves, in the same way and as often as it takes, so
+    the comparisons of a value stay bounded by FULL a bucket. What is shuffled is a
+    fingerprint and a 32-bit key a mask; keys that coincide cost a comparison, no more.
     """
-    masks = block_masks(blocks_for(n, distance), distance)
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("print").bitwiseAND(F.lit(m).cast("long")).alias("under")) for i, m in enumerate(masks)))
-        return df.select(F.col("print").alias(name), F.explode(keys).alias("k")).select(name, F.col("k.mask").alias("mask"), F.col("k.under").alias("under"))
-
-    pairs = keyed(left, "left_print").join(keyed(right, "right_print"), ["mask", "under"])
-    differ = F.col("left_print").bitwiseXOR(F.col("right_print"))
-    first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(masks)))
-    return pairs.where((F.bit_count(differ) <= distance) & (first == F.col("mask"))).select("left_print", "right_print")
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # a task would else write all keys of many values, since the distinct values themselves are small
+    fronts = [df.select("print", F.lit(0).cast("long").alias("mask")).repartition(parts) for df in (left, right)]
+    parents, out = [0], None
+    while parents:
+        masks = spark.createDataFrame([(p, m) for p in parents for m in block_masks(p, distance)], "mask long, child long")
+        under = F.hash("child", F.col("print").bitwiseAND(F.col("child")))
+        a, b = (df.join(F.broadcast(masks), "mask").select("print", F.col("child").alias("mask"), under.alias("key")) for df in fronts)  # 21 masks a parent
+        counted = [df.where(F.pmod(F.xxhash64("print"), F.lit(COUNTED)) == 0).groupBy("mask", "key").agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > FULL) for df in (a, b)]
+        dividable = F.col("mask").isin([m for m in {r[1] for r in masks.collect()} if block_masks(m, distance)])
+        full = write_between(counted[0].join(counted[1], ["mask", "key"]).where(dividable).select("mask", "key"), "full")
+        parents = [r["mask"] for r in full.select("mask").distinct().collect()]  # at most 21 a level and parent
+        if parents:
+            fronts = [df.join(full, ["mask", "key"], "left_semi").select("print", "mask").distinct() for df in (a, b)]
+            a, b = (df.join(full, ["mask", "key"], "left_anti") for df in (a, b))
+        pairs = a.select("key", F.col("print").alias("left_print")).join(b.select("key", F.col("print").alias("right_print")), "key")
+        pairs = pairs.where(F.bit_count(F.col("left_print").bitwiseXOR(F.col("right_print"))) <= distance).select("left_print", "right_print")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
 
 
 def near_pairs(df: DataFrame, fingerprint: str = "phash", distance: int = 5) -> DataFrame:
     """(print_a, print_b, distance): pairs of different fingerprints, smaller first, within
     `distance` bits. Copies of one fingerprint stand for one value; null ones match nothing."""
     values = df.where(F.col(fingerprint).isNotNull()).select(F.col(fingerprint).alias("print")).distinct()
-    n = values.agg(F.approx_count_distinct("print")).first()[0]
-    near = near_values(values, values, distance, n).where("left_print < right_print")
+    near = near_values(values, values, distance).where("left_print < right_print")
     return near.select(F.col("left_print").alias("print_a"), F.col("right_print").alias("print_b"), F.bit_count(F.col("left_print").bitwiseXOR(F.col("right_print"))).alias("distance"))
 
 

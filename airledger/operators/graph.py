@@ -33,7 +33,7 @@ def _shortened(parents: DataFrame) -> DataFrame:
             return parents
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node in `links` (columns a, b); component is the lowest node.
 
     Each round hooks every node to its lowest neighbour, brings all paths to length one by
@@ -48,9 +48,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     nodes = ordered.select(F.col("a").alias("node")).unionByName(ordered.select(F.col("b").alias("node"))).distinct()
     left = write_between(ordered.where("a <> b").distinct(), "links")
     labels = write_between(nodes.select("node", F.col("node").alias("component")), "nodes")
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            return labels
+    while not left.isEmpty():
         parents = _shortened(_hooked(left))
         a, b = (parents.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_to")) for c in ("a", "b"))
         old = left, labels
@@ -59,4 +57,5 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         to = parents.select(F.col("node").alias("component"), "parent")
         labels = write_between(labels.join(to, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "nodes")
         forget(parents, *old)
-    raise RuntimeError(f"not connected after {most_rounds} rounds")
+    forget(left)
+    return labels
