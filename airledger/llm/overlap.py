@@ -9,23 +9,22 @@ from ..operators.duplicates import near_values
 
 
 def canonical_hash(kind: str, value: Column) -> Column:
-    """Hash of a value's text after case, punctuation and white space are taken out; null stays null."""
-    text = F.regexp_replace(F.lower(value.cast("string")), r"[\p{P}\s]+", "")
-    return F.when(value.isNotNull(), F.xxhash64(F.lit(kind), text))
+    """128-bit hash of a value's text after case, punctuation and white space are taken out; null stays
+    null. The sign of a number is no punctuation: -7 and 7 differ."""
+    text = F.regexp_replace(F.lower(value.cast("string")), r"(?!^\s*-[0-9])[\p{P}\s]", "")
+    return F.when(value.isNotNull(), F.struct(F.xxhash64(F.lit(kind), text).alias("h1"), F.xxhash64(text, F.lit(kind), F.lit(7)).alias("h2")))
 
 
 def _keys(records: DataFrame) -> DataFrame:
-    """(row, kind, hash, value) of each record's image and group."""
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), canonical_hash(k, F.col(k)).alias("hash"), F.col(k).cast("long").alias("value")) for k in ("image_id", "dup_group")))
-    return records.select("row", F.explode(kinds).alias("k")).select("row", F.col("k.kind").alias("kind"), F.col("k.hash").alias("hash"), F.col("k.value").alias("value")).where(F.col("hash").isNotNull())
+    """(row, kind, h1, h2) of each record's image and group."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), canonical_hash(k, F.col(k)).alias("hash")) for k in ("image_id", "dup_group")))
+    return records.select("row", F.explode(kinds).alias("k")).where(F.col("k.hash").isNotNull()).select("row", F.col("k.kind").alias("kind"), F.col("k.hash.h1").alias("h1"), F.col("k.hash.h2").alias("h2"))
 
 
 def _near(train: DataFrame, evaluation: DataFrame, distance: int) -> DataFrame:
     """Fingerprints (eval_print, train_print) of the two sides that are near each other."""
     prints = lambda df: df.where(F.col("phash").isNotNull()).select(F.col("phash").alias("print")).distinct()
-    left, right = prints(evaluation), prints(train)
-    n = left.unionByName(right).agg(F.approx_count_distinct("print")).first()[0]
-    return near_values(left, right, distance, n).select(F.col("left_print").alias("eval_print"), F.col("right_print").alias("train_print"))
+    return near_values(prints(evaluation), prints(train), distance).select(F.col("left_print").alias("eval_print"), F.col("right_print").alias("train_print"))
 
 
 def cross_split_pairs(records: DataFrame, distance: int = 5) -> DataFrame:
@@ -34,13 +33,13 @@ def cross_split_pairs(records: DataFrame, distance: int = 5) -> DataFrame:
 
     `records` has row, split (train, cal, test or null), image_id, dup_group, phash. Rows with
     a null split are left out; null images, groups and fingerprints match nothing; a row that
-    stands in both sides makes no pair with itself. Hashes of evaluation records are joined
-    with those of training records and the values compared; fingerprints are compared as
-    distinct values, their rows come in after that.
+    stands in both sides makes no pair with itself. Hashes of canonical evaluation records are
+    joined with those of training records; fingerprints are compared as distinct values,
+    their rows come in after that.
     """
     train, evaluation = records.where(F.col("split") == "train"), records.where(F.col("split").isin("cal", "test"))
-    t, e = (_keys(x).select(F.col("row").alias(name), "kind", "hash", "value") for x, name in ((train, "train_row"), (evaluation, "eval_row")))
-    same = e.join(t, ["kind", "hash", "value"]).select("train_row", "eval_row")
+    t, e = (_keys(x).select(F.col("row").alias(name), "h1", "h2") for x, name in ((train, "train_row"), (evaluation, "eval_row")))
+    same = e.join(t, ["h1", "h2"]).select("train_row", "eval_row")
     near = (
         _near(train, evaluation, distance)
         .join(evaluation.select(F.col("row").alias("eval_row"), F.col("phash").alias("eval_print")), "eval_print")
@@ -58,8 +57,8 @@ def overlap_counts(records: DataFrame, distance: int = 5) -> DataFrame:
     Every row is counted by whether a match exists, so no pairs are written out.
     """
     train, evaluation = records.where(F.col("split") == "train"), records.where(F.col("split").isin("cal", "test"))
-    there = _keys(train).select("kind", "hash", "value").distinct()
-    hits = _keys(evaluation).join(there, ["kind", "hash", "value"], "left_semi").select("row", "kind")
+    there = _keys(train).select("h1", "h2").distinct()
+    hits = _keys(evaluation).join(there, ["h1", "h2"], "left_semi").select("row", "kind")
     prints = _near(train, evaluation, distance).select(F.col("eval_print").alias("phash")).distinct()
     near = evaluation.join(prints, "phash", "left_semi").select("row", F.lit("phash").alias("kind"))
     marks = hits.unionByName(near).groupBy("row").agg(*(F.max(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"is_{k}") for k in ("image_id", "dup_group", "phash")))
