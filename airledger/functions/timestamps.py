@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .zones import ABBREVIATIONS, ZoneTable, zone_table
 
-#: A text longer than this names no time: the longest form with the longest zone name is shorter.
+#: Once digits beyond the microsecond are taken out, a text longer than this names no time: the
+#: longest form with the longest zone name of the database is shorter.
 LONGEST = 96
 
 _CLASS = np.full(256, ord("?"), dtype=np.uint8)
@@ -43,11 +44,11 @@ _DATES = (
     r"(?:(?P<w>a{3,9}),? )?(?P<d>99?)(?P<sep>[ -])(?P<b>a{3,9})(?P=sep)(?P<y>9999)",
     r"(?:(?P<w>a{3,9}),? )?(?P<b>a{3,9}) (?P<d>99?),? (?P<y>9999)",
 )
-_TIME = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9{1,12}))?)?"
+_TIME = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?"
 _ZONE = r"(?: ?(?P<Z>a)| ?(?P<sg>[+-])(?P<oh>99)(?::?(?P<om>99))?(?:\[(?P<br>a[a9/_+-]*)\])?| (?P<zn>a[a9/_+-]+))?"
 _FORMS = [
     *(re.compile(f"{d}(?:(?:(?P<T>a)|,? ){_TIME}(?: ?(?P<ap>aa)(?!a))?{_ZONE})?$") for d in _DATES),
-    re.compile(r"(?P<y>9999)(?P<m>99)(?P<d>99)(?:(?:(?P<T>a)| )?(?P<H>99)(?P<M>99)(?:(?P<S>99)(?:[.,](?P<f>9{1,12}))?)?" + _ZONE + ")?$"),
+    re.compile(r"(?P<y>9999)(?P<m>99)(?P<d>99)(?:(?:(?P<T>a)| )?(?P<H>99)(?P<M>99)(?:(?P<S>99)(?:[.,](?P<f>9+))?)?" + _ZONE + ")?$"),
 ]
 #: Digits of a number of seconds, milliseconds, microseconds or nanoseconds since 1970: the
 #: length tells the unit, and the factor to microseconds is 10 to this power.
@@ -73,7 +74,7 @@ def plans_for(mask: str) -> tuple[Fields, ...]:
 def _plans(mask: str) -> tuple[Fields, ...]:
     if set(mask) == {"9"} and len(mask) in _EPOCHS:
         return ({"epoch": (0, len(mask))},)
-    if m := re.fullmatch(r"(9{10})[.,](9{1,12})", mask):
+    if m := re.fullmatch(r"(9{10})[.,](9+)", mask):
         return ({"epoch": m.span(1), "f": m.span(2)},)
     found: list[Fields] = []
     for form in _FORMS:
@@ -231,6 +232,9 @@ def parse_times(texts: pa.Array, zone: pa.Array, order: pa.Array, zones: ZoneTab
     `order` holds dmy, mdy or ymd. Null in either leaves only texts that don't need it.
     """
     texts = pc.utf8_trim_whitespace(texts.cast(pa.string()))
+    long = pc.fill_null(pc.greater(pc.binary_length(texts), LONGEST), False)
+    if pc.any(long).as_py():
+        texts = pc.if_else(long, pc.replace_substring_regex(texts, r"([.,][0-9]{6})[0-9]+", r"\1"), texts)
     n = len(texts)
     out, good = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     valid = np.asarray(texts.is_valid())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import order_statistic, with_average_rank, with_row_number, with_running_sum
+from .ranks import order_statistic, percentiles_by_key, with_average_rank, with_row_number, with_running_sum
 
 
 def log_width(low: Column, high: Column) -> Column:
@@ -18,16 +18,17 @@ def log_width(low: Column, high: Column) -> Column:
 
 
 def ood_threshold(scores: DataFrame, score: str, budget: float = 0.05) -> DataFrame:
-    """One row (n, tau): at most `budget` of good scores lie above tau; no row for an empty table
-    (then nothing is refused)."""
+    """One row (n, tau): at most `budget` of good scores lie above tau; infinite for an empty table, so
+    that nothing is refused."""
     k = F.floor(F.lit(budget) * F.col("n"))
     rank = F.when(k <= 0, F.col("n")).otherwise(F.col("n") - k)
-    return order_statistic(scores.select(F.col(score).alias("tau")), "tau", rank)
+    one = order_statistic(scores.select(F.col(score).alias("tau")), "tau", rank)
+    return one.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("tau"), F.lit(float("inf"))).alias("tau"))
 
 
 def width_threshold(widths: DataFrame, width: str, coverage: float = 0.9) -> DataFrame:
-    """One row (tau): the linear percentile of the widths."""
-    return widths.agg(F.percentile(width, coverage).alias("tau"))
+    """One row (tau): the linear percentile of the widths; null if there are none."""
+    return percentiles_by_key(widths, [], width, {"tau": coverage}).select("tau")
 
 
 def decide(score: Column, width: Column, tau_score: Column, tau_width: Column, why: Column) -> Column:
@@ -79,7 +80,8 @@ def ood_metrics(scores: DataFrame, score: str, is_ood: str) -> DataFrame:
     share of in-distribution scores at or above the 5th percentile of the others.
     """
     rows = scores.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(is_ood).alias("o"))
-    sizes = rows.agg(F.count_if(~F.col("o")).alias("n_id"), F.count_if("o").alias("n_ood"), F.percentile(F.when(F.col("o"), F.col("s")), 0.05).alias("cut"))
+    cut = percentiles_by_key(rows.where("o"), [], "s", {"cut": 0.05}).select("cut")
+    sizes = rows.agg(F.count_if(~F.col("o")).alias("n_id"), F.count_if("o").alias("n_ood")).join(F.broadcast(cut), how="cross")  # one row each
     ranks = with_average_rank(rows, "s", "r").agg(F.sum(F.when(F.col("o"), F.col("r"))).alias("rank_sum"))
     levels = rows.groupBy("s").agg(F.count("*").alias("c"), F.count_if("o").alias("pos")).withColumn("down", -F.col("s"))
     run = with_running_sum(levels, [F.col("down")], F.col("c"), "seen")

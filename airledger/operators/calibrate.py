@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import order_statistic, with_row_number
+from ..session import write_between
+from .ranks import order_statistic, with_last_before, with_row_number
 
 
 def conformal_score(y: Column, low: Column, high: Column) -> Column:
@@ -30,52 +31,70 @@ def conformal_q(cal: DataFrame, y: str, low: str, high: str, coverage: float = 0
 
 
 def widen(df: DataFrame, q: DataFrame, low: str, high: str) -> DataFrame:
-    """`df` with the interval widened by q, its lower end at least 0. `q` is one row."""
-    one = q.select(F.col("q").alias("__q"))
-    out = df.join(F.broadcast(one), how="cross")  # one row
-    return out.withColumns({low: F.greatest(F.col(low) - F.col("__q"), F.lit(0.0)), high: F.col(high) + F.col("__q")}).drop("__q")
+    """`df` with the interval widened by q, its lower end at least 0. `q` is one row, or none where
+    there was nothing to calibrate with: then both ends are unknown (null), and no row is lost."""
+    one = q.agg(F.max("q").alias("__q"))
+    out = df.join(F.broadcast(one), how="cross")  # one row, also of an empty table
+    known = F.col("__q").isNotNull()
+    return out.withColumns({low: F.when(known, F.greatest(F.col(low) - F.col("__q"), F.lit(0.0))), high: F.col(high) + F.col("__q")}).drop("__q")
+
+
+def _pooled(frame: pd.DataFrame) -> pd.DataFrame:
+    """Neighbouring violators of one range pooled: what is left rises strictly."""
+    frame = frame.sort_values("low")
+    out: list[list[float]] = []
+    for low, high, v, w in zip(*(frame[c].to_numpy() for c in ("low", "high", "v", "w"))):
+        out.append([low, high, v, w])
+        while len(out) > 1 and out[-2][2] >= out[-1][2]:
+            _, high2, v2, w2 = out.pop()
+            low1, _, v1, w1 = out[-1]
+            out[-1] = [low1, high2, (v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2]
+    return pd.DataFrame(out, columns=["low", "high", "v", "w"])
 
 
 def isotonic_fit(cal: DataFrame, x: str, y: str, block: int = 4096) -> DataFrame:
     """(x, fitted): knots of the nondecreasing least-squares fit of y on x, at least 0.
 
-    Rows of equal x are averaged with their weight first. Ranges of x are then fitted each by
-    itself (pool adjacent violators); what remains of each range is a nondecreasing list of
-    blocks, and the blocks of all ranges are fitted once more: pooling is associative over
-    ranges in order, so the result is that of one pass. The second pass sees one row per
-    block left, not the data.
+    Rows of equal x are averaged with their weight first. Adjacent violators are pooled in
+    ranges of `block` neighbours, again and again with the ranges shifted by half, until one
+    range holds all that is left or neither way of cutting leaves anything to pool: then no
+    two neighbours violate the order, and pooling in any order gives the one fit. No task
+    sees more than a range. Rows with a null in x or y don't count; none give no knots.
     """
-    means = cal.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("v"), F.count("*").cast("double").alias("w"))
-    ranked = with_row_number(means, [F.col("x")], "rank").withColumn("part", F.floor((F.col("rank") - 1) / block))
-
-    def pool(v: np.ndarray, w: np.ndarray) -> list[tuple[float, float, int, int]]:
-        out: list[tuple[float, float, int, int]] = []
-        for i, (a, b) in enumerate(zip(v, w)):
-            out.append((a, b, i, i))
-            while len(out) > 1 and out[-2][0] >= out[-1][0]:
-                (a1, b1, i1, _), (a2, b2, _, j2) = out[-2], out[-1]
-                out[-2:] = [((a1 * b1 + a2 * b2) / (b1 + b2), b1 + b2, i1, j2)]
-        return out
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        xs = pdf["x"].to_numpy()
-        rows = [(float(xs[i]), float(xs[j]), v, w) for v, w, i, j in pool(pdf["v"].to_numpy(), pdf["w"].to_numpy())]
-        return pd.DataFrame(rows, columns=["low", "high", "v", "w"])
-
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("low")
-        low, high = pdf["low"].to_numpy(), pdf["high"].to_numpy()
-        rows = []
-        for v, _, i, j in pool(pdf["v"].to_numpy(), pdf["w"].to_numpy()):
-            v = max(float(v), 0.0)
-            rows.append((float(low[i]), v))
-            if high[j] > low[i]:
-                rows.append((float(high[j]), v))
-        return pd.DataFrame(rows, columns=["x", "fitted"])
-
-    parts = ranked.groupBy("part").applyInPandas(first, "low double, high double, v double, w double")
-    return parts.groupBy().applyInPandas(second, "x double, fitted double")
+    means = cal.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("low")).agg(F.avg(y).alias("v"), F.count("*").cast("double").alias("w"))
+    left = means.select("low", F.col("low").alias("high"), "v", "w")
+    n, quiet, shift = None, 0, 0
+    while quiet < 2:
+        ranked = with_row_number(left, [F.col("low")], "rank").withColumn("part", F.floor((F.col("rank") - 1 + shift) / block))
+        left = write_between(ranked.groupBy("part").applyInPandas(_pooled, "low double, high double, v double, w double"), "pools")
+        before, n = n, left.count()
+        if not shift and (before or 0) <= block and ranked.agg(F.max("part")).first()[0] in (0, None):
+            break
+        quiet = quiet + 1 if n == before else 0
+        shift = block // 2 - shift
+    ends = F.when(F.col("high") > F.col("low"), F.array("low", "high")).otherwise(F.array("low"))
+    return left.select(F.explode(ends).alias("x"), F.greatest("v", F.lit(0.0)).alias("fitted"))
+
+
+def apply_fit(df: DataFrame, fit: DataFrame, point: str, out: str) -> DataFrame:
+    """`df` with `out`: `point` read off the knots of `fit` (x, fitted) on straight lines, level beyond
+    the ends, at least 0; null for null and NaN, and where there are no knots.
+
+    Points find their knots along one order, cut into ranges, so neither side has to fit into
+    one place.
+    """
+    fit = write_between(fit, "knots")
+    numbered = with_row_number(fit, [F.col("x"), F.col("fitted")], "k")
+    after = numbered.select((F.col("k") - 1).alias("k"), F.col("x").alias("x2"), F.col("fitted").alias("f2"))
+    marks = numbered.join(after, "k", "left").select("x", F.struct(F.col("x").alias("x1"), F.col("fitted").alias("f1"), "x2", "f2").alias("__knot"))
+    known = F.col(point).isNotNull() & ~F.isnan(F.col(point).cast("double"))
+    rows = with_last_before(df.where(known).withColumn("__p", F.col(point).cast("double")), marks.withColumnRenamed("x", "__p"), "__p", "__knot")
+    lowest = fit.agg(F.min_by("fitted", "x").alias("__lowest"))
+    k = lambda name: F.col(f"__knot.{name}")
+    line = F.when(k("x2").isNull(), k("f1")).otherwise(k("f1") + (F.col("__p") - k("x1")) * (k("f2") - k("f1")) / (k("x2") - k("x1")))
+    read = F.when(F.col("__knot").isNull(), F.col("__lowest")).otherwise(line)
+    given = rows.join(F.broadcast(lowest), how="cross").withColumn(out, F.when(read.isNotNull(), F.greatest(read, F.lit(0.0)))).drop("__p", "__knot", "__lowest")  # one row
+    return given.unionByName(df.where(~F.coalesce(known, F.lit(False))).withColumn(out, F.lit(None).cast("double")))
 
 
 def apply_knots(point: Column, xs: list[float], ys: list[float]) -> Column:
@@ -96,11 +115,9 @@ def apply_knots(point: Column, xs: list[float], ys: list[float]) -> Column:
     return read(point.cast("double"))
 
 
-def knots(fit: DataFrame, limit: int = 100_000) -> tuple[list[float], list[float]]:
-    """The fitted knots on the driver, refused beyond `limit` of them."""
-    rows = fit.orderBy("x").take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} knots")
+def knots(fit: DataFrame) -> tuple[list[float], list[float]]:
+    """The fitted knots on the driver, to be kept with a model. Large fits are applied by `apply_fit`."""
+    rows = fit.orderBy("x").collect()
     return [r["x"] for r in rows], [r["fitted"] for r in rows]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aqi import BAND_EDGES, band, band_label, pm25_to_aqi
+from .ranks import percentiles_by_key
 
 #: Fixed value: the normal quantile of a central 90 % interval.
 Z90 = 1.6448536269514722
@@ -81,7 +82,8 @@ def r2_max(var_epsilon: Column, var_labels: Column) -> Column:
 def interval_floor(devs: DataFrame, coverage: float = 0.9) -> DataFrame:
     """One row (floor): width of the central part of the deviations; null if there are none."""
     tail = (1 - coverage) / 2
-    return devs.agg((F.percentile("deviation", 1 - tail) - F.percentile("deviation", tail)).alias("floor"))
+    ends = percentiles_by_key(devs, [], "deviation", {"low": tail, "high": 1 - tail})
+    return ends.select((F.col("high") - F.col("low")).alias("floor"))
 
 
 def error_ceiling(clean: DataFrame, labels: DataFrame, label: str, min_hours: int = 18) -> DataFrame:

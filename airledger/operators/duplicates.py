@@ -51,11 +51,16 @@ def near_values(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     fronts = [df.select("print", F.lit(0).cast("long").alias("mask")).repartition(parts) for df in (left, right)]
     parents, out = [0], None
     while parents:
-        masks = spark.createDataFrame([(p, m) for p in parents for m in block_masks(p, distance)], "mask long, child long")
+        masks = {p: block_masks(p, distance) for p in parents}  # 21 a parent
+        if len(masks) == 1:
+            children = [df.select("print", F.explode(F.array(*(F.lit(m).cast("long") for m in masks[parents[0]]))).alias("child")) for df in fronts]
+        else:
+            table = spark.createDataFrame([(p, m) for p, ms in masks.items() for m in ms], "mask long, child long")
+            children = [df.join(F.broadcast(table), "mask").select("print", "child") for df in fronts]
         under = F.hash("child", F.col("print").bitwiseAND(F.col("child")))
-        a, b = (df.join(F.broadcast(masks), "mask").select("print", F.col("child").alias("mask"), under.alias("key")) for df in fronts)  # 21 masks a parent
+        a, b = (df.select("print", F.col("child").alias("mask"), under.alias("key")) for df in children)
         counted = [df.where(F.pmod(F.xxhash64("print"), F.lit(COUNTED)) == 0).groupBy("mask", "key").agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > FULL) for df in (a, b)]
-        dividable = F.col("mask").isin([m for m in {r[1] for r in masks.collect()} if block_masks(m, distance)])
+        dividable = F.col("mask").isin([m for m in {m for ms in masks.values() for m in ms} if block_masks(m, distance)])
         full = write_between(counted[0].join(counted[1], ["mask", "key"]).where(dividable).select("mask", "key"), "full")
         parents = [r["mask"] for r in full.select("mask").distinct().collect()]  # at most 21 a level and parent
         if parents:

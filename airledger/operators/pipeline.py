@@ -54,13 +54,13 @@ def compare_strategies(df: DataFrame, strategies: tuple[str, ...] = STRATEGIES)
 def evaluate_split(pred: DataFrame, coverage: float = 0.9, recalibrate: bool = True) -> DataFrame:
     """One row of scores of the test rows of (split, station_id, y, q05, q50, q95, point).
 
-    What is fitted (isotonic knots, the conformal widening) comes from the cal rows only.
+    What is fitted (isotonic knots, the conformal widening) comes from the cal rows only; without
+    any, points and intervals are unknown, and so are their scores.
     """
     cal, test = pred.where("split = 'cal'"), pred.where("split = 'test'")
-    point = F.col("point")
     if recalibrate:
-        point = calibrate.apply_knots(point, *calibrate.knots(calibrate.isotonic_fit(cal, "point", "y")))
-    wide = calibrate.widen(test.withColumn("point", point), calibrate.conformal_q(cal, "y", "q05", "q95", coverage), "q05", "q95")
+        test = calibrate.apply_fit(test, calibrate.isotonic_fit(cal, "point", "y"), "point", "point")
+    wide = calibrate.widen(test, calibrate.conformal_q(cal, "y", "q05", "q95", coverage), "q05", "q95")
     report = scores.full_report(wide, "y", "point", "q05", "q95")
     sizes = pred.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
     apart = splits.straddling(pred).agg(F.count("*").alias("straddling"))

@@ -112,6 +112,31 @@ def middle_values(counts: DataFrame, keys: list[str], value: str, weight: str) -
     return both.groupBy(*keys).agg(F.max("n").alias("n"), ((at(low) + at(high)) / 2).alias("middle"))
 
 
+def percentiles_by_key(df: DataFrame, keys: list[str], value: str, q: dict[str, float]) -> DataFrame:
+    """(keys, n, one column for each of `q`): exact percentiles of `value`, on the straight line between
+    neighbouring ranks. Without keys one row; null where there are no values. Null values don't
+    count, a null key is a key.
+
+    Equal values are counted first, and the counts ordered by ranges: no task holds all values
+    of a key.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__w"))
+    upto = running_by_key(counts, keys, "__x", "__w", "__upto")
+    totals = counts.groupBy(*keys).agg(F.coalesce(F.sum("__w"), F.lit(0)).alias("n")).withColumnsRenamed({c: f"__{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    both = totals.join(upto, same, "left") if keys else F.broadcast(totals).join(upto, how="left")  # without keys one row
+    at = lambda rank: F.max(F.when((F.col("__upto") >= rank) & (F.col("__upto") - F.col("__w") < rank), F.col("__x")))
+    out = []
+    for name, p in q.items():
+        place = (F.col("n") - 1) * F.lit(p)
+        low = F.floor(place)
+        share = F.max(place - low)
+        first, second = at(low + 1), at(F.least(low + 2, F.col("n")))
+        out.append((first + (second - first) * share).alias(name))
+    by = [F.col(f"__{c}").alias(c) for c in keys]
+    return both.groupBy(*by).agg(F.max("n").alias("n"), *out)
+
+
 def md5_key(*parts: Column, seed: int = 42) -> Column:
     """A key whose order is a fixed random order of the rows: md5 of the parts and the seed."""
     return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts), F.lit(f"#{seed}")))

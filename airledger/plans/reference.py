@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import aqi
 from ..functions.timestamps import with_instant
 from ..operators import abstain, calibrate, ceiling, clean, duplicates, pipeline, scores, splits
-from ..operators.ranks import md5_key
+from ..operators.ranks import md5_key, percentiles_by_key
 from ..operators.readings import is_number
 from ..session import shared_dir
 from ..sources import read_table
@@ -115,8 +115,8 @@ def within_day_variance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {HOURLY_SQL}, {DAYS_SQL}, dev as (select h.aqi - d.day_mean_aqi as e from hc h join days d using (station, day))
 select count(*) as n, round(quantile_cont(e, 0.05), 4) as p05, round(quantile_cont(e, 0.5), 4) as p50, round(quantile_cont(e, 0.95), 4) as p95, round(quantile_cont(e, 0.95) - quantile_cont(e, 0.05), 4) as width from dev""")
 def within_day_deviation_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    p = lambda q: F.percentile("deviation", q)
-    return ceiling.deviations(_clean(spark, d)).agg(F.count("*").alias("n"), R(p(0.05), 4).alias("p05"), R(p(0.5), 4).alias("p50"), R(p(0.95), 4).alias("p95"), R(p(0.95) - p(0.05), 4).alias("width"))
+    p = percentiles_by_key(ceiling.deviations(_clean(spark, d)), [], "deviation", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return p.select("n", R("p05", 4).alias("p05"), R("p50", 4).alias("p50"), R("p95", 4).alias("p95"), R(F.col("p95") - F.col("p05"), 4).alias("width"))
 
 
 @query(f"with {HOURLY_SQL}, {DAYS_SQL}, {CURVE_SQL} select band_idx, n_days, round(v, 4) as v, round(sqrt(v), 5) as rmse_within_day from curve")
@@ -474,8 +474,7 @@ select row_id, round(p, 4) as aqi, round(low, 4) as low, round(high, 4) as high,
 def predict_batch(spark: SparkSession, d: str) -> DataFrame:
     """Serving: recalibrated point, interval, gate and category of every test row."""
     pred = predictions(spark, d, leaky=True)
-    xs, ys = calibrate.knots(calibrate.isotonic_fit(pred.where("split = 'cal'"), "point", "y"))
-    test = pred.where("split = 'test'").withColumn("point", calibrate.apply_knots(F.col("point"), xs, ys))
+    test = calibrate.apply_fit(pred.where("split = 'test'"), calibrate.isotonic_fit(pred.where("split = 'cal'"), "point", "y"), "point", "point")
     out = calibrate.widen(test, calibrate.conformal_q(pred.where("split = 'cal'"), "y", "q05", "q95"), "q05", "q95")
     width = abstain.log_width(F.greatest("q05", F.lit(1e-6)), F.col("q95"))
     gate = abstain.decide(F.lit(0.0), width, F.lit(0.5), F.lit(3.0), F.lit("out of distribution"))
@@ -698,8 +697,8 @@ select row_id, round(case when point <= (select min(x) from fit) then (select ar
   else (select f + (point - x) * (nf - f) / (nx - x) from fit where x <= point and nx > point) end, 5) as point from t""")
 def recalibrated_points(spark: SparkSession, d: str) -> DataFrame:
     pred = predictions(spark, d, leaky=True)
-    xs, ys = calibrate.knots(calibrate.isotonic_fit(pred.where("split = 'cal'"), "point", "y"))
-    return pred.where("split = 'test'").select("row_id", R(calibrate.apply_knots(F.col("point"), xs, ys), 5).alias("point"))
+    fit = calibrate.isotonic_fit(pred.where("split = 'cal'"), "point", "y")
+    return calibrate.apply_fit(pred.where("split = 'test'"), fit, "point", "iso").select("row_id", R("iso", 5).alias("point"))
 
 
 @query(f"""with {PHOTOS_SQL}, {predictions_sql()}, {predictions_sql(True, 'leaky')},
@@ -806,9 +805,9 @@ u as (select 'raw' as point, y, point as p from t union all select 'recalibrated
 select point, {_POINT_SQL} from u group by 1""")
 def recalibration_report(spark: SparkSession, d: str) -> DataFrame:
     pred = predictions(spark, d, leaky=True)
-    xs, ys = calibrate.knots(calibrate.isotonic_fit(pred.where("split = 'cal'"), "point", "y"))
-    test = pred.where("split = 'test'")
-    both = test.select(F.lit("raw").alias("point"), "y", F.col("point").alias("p")).unionByName(test.select(F.lit("recalibrated").alias("point"), "y", calibrate.apply_knots(F.col("point"), xs, ys).alias("p")))
+    fit = calibrate.isotonic_fit(pred.where("split = 'cal'"), "point", "y")
+    test = calibrate.apply_fit(pred.where("split = 'test'"), fit, "point", "iso")
+    both = test.select(F.explode(F.array(*(F.struct(F.lit(n).alias("point"), F.col("y"), F.col(c).alias("p")) for n, c in (("raw", "point"), ("recalibrated", "iso"))))).alias("x")).select("x.*")
     return both.groupBy("point").agg(*scores.point_scores(F.col("y"), F.col("p")))
 
 

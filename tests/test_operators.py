@@ -106,6 +106,45 @@ def test_isotonic(spark):
     got = column(spark, [260.0, 100.0, 400.0, None], lambda x: calibrate.apply_knots(x, [200.0, 300.0], [210.0, 360.0]))
     assert got == [300.0, 210.0, 360.0, None]
     assert calibrate.isotonic_fit(df.limit(0), "x", "y").collect() == []
+    points = spark.createDataFrame([(i, p) for i, p in enumerate([-5.0, 0.0, 3.3, 17.25, 1e9, None, float("nan")])], "i int, p double")
+    xs, ys = cut
+    got = {r["i"]: r["p"] for r in calibrate.apply_fit(points, calibrate.isotonic_fit(df, "x", "y"), "p", "p").collect()}
+    want = {r["i"]: r["p"] for r in points.select("i", calibrate.apply_knots(F.col("p"), xs, ys).alias("p")).collect()}
+    assert got.keys() == want.keys() and all(got[i] is want[i] is None or abs(got[i] - want[i]) < 1e-9 for i in got)
+    assert {r["p"] for r in calibrate.apply_fit(points, calibrate.isotonic_fit(df.limit(0), "x", "y"), "p", "p").collect()} == {None}
+
+
+def test_isotonic_across_ranges(spark):
+    """Labels that rise already (nothing pools), that fall (all pool into one), and both in turn, in ranges of 8."""
+    n = 100
+    shapes = {"up": range(n), "down": range(n, 0, -1), "saw": [k % 23 + k / 7 for k in range(n)]}
+    for values in shapes.values():
+        df = spark.createDataFrame([(float(k), float(v)) for k, v in enumerate(values)], "x double, y double")
+        whole, cut = (calibrate.knots(calibrate.isotonic_fit(df, "x", "y", block=b)) for b in (1000, 8))
+        assert whole[0] == cut[0] and max(abs(a - b) for a, b in zip(whole[1], cut[1])) < 1e-9
+
+
+def test_nothing_to_calibrate_with(spark):
+    rows = spark.createDataFrame([(1, 10.0, 20.0)], "i int, q05 double, q95 double")
+    out = calibrate.widen(rows, spark.createDataFrame([], "q double"), "q05", "q95").collect()
+    assert [tuple(r) for r in out] == [(1, None, None)]
+
+
+def test_percentiles_of_a_hot_key(spark):
+    """Nine tenths of all rows under one key, many of them equal; nulls in key and value."""
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice(["a", None]), rng.choice([None, 5.0, rng.gauss(0, 9)])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    q = {"p0": 0.0, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: r for r in ranks.percentiles_by_key(df, ["k"], "x", q).collect()}
+    for key in ("hot", "a", None):
+        v = [x for k, x in rows if k == key and x is not None]
+        assert got[key]["n"] == len(v) and all(abs(got[key][c] - np.percentile(v, 100 * p)) < 1e-9 for c, p in q.items())
+    one = ranks.percentiles_by_key(df, [], "x", q).collect()
+    v = [x for _, x in rows if x is not None]
+    assert len(one) == 1 and one[0]["n"] == len(v) and abs(one[0]["p50"] - np.median(v)) < 1e-9
+    none = ranks.percentiles_by_key(df.limit(0), [], "x", q).collect()
+    assert [tuple(r) for r in none] == [(0, None, None, None, None, None)]
 
 
 def hourly(spark):
@@ -289,7 +328,8 @@ def test_thresholds_and_gate(spark):
         tau = abstain.ood_threshold(df, "s").first()["tau"]
         assert (values > tau).mean() <= 0.05
         assert near(abstain.width_threshold(df, "s").first()["tau"], np.percentile(values, 90))
-    assert abstain.ood_threshold(df.limit(0), "s").collect() == []
+    none = abstain.ood_threshold(df.limit(0), "s").first()  # nothing to judge by: nothing is refused
+    assert none["n"] == 0 and none["tau"] == math.inf
     gate = abstain.decide(F.col("s"), F.col("w"), F.lit(0.5), F.lit(1.0), F.lit("strange"))
     rows = spark.createDataFrame([(0.9, 9.0), (0.5, 9.0), (0.5, 1.0)], "s double, w double").select(gate.alias("g")).select("g.*").collect()
     assert [(r["answer"], r["reason"]) for r in rows] == [(False, "strange"), (False, "interval too wide"), (True, "ok")]

@@ -90,3 +90,11 @@ def test_whole_table_like_row_by_row(spark, tiny):
     rows = spark.sql(f"select h.reading_id, h.date, l.time_zone, l.date_order from parquet.`{tiny}/hourly.parquet` h left join parquet.`{tiny}/locations.parquet` l using (location_id)").collect()
     want = {r[0]: brute.instant(r[1], r[2], r[3]) for r in rows}
     assert {r[0]: r[1] for r in general.p6_instants(spark, tiny).collect()} == want
+
+
+def test_digits_beyond_the_microsecond():
+    """Any number of them, however long the text."""
+
+    texts = [f"2024-05-01T07:00:00.123456{'7' * k}Z" for k in (0, 1, 6, 7, 60, 5000)] + ["x" * 5000]
+    got = parse_times(pa.array(texts), pa.array([None] * 7, pa.string()), pa.array([None] * 7, pa.string()), zone_table()).to_pylist()
+    assert got == [1714546800123456] * 6 + [None]
