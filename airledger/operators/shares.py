@@ -19,9 +19,9 @@ def deal(lacks: list[int], size: int, count: int) -> list[int]:
     largest lack in turn takes the `count` highest of them. The height of the last one is found
     by halving, so the work doesn't grow with `count`.
     """
-    if count == 1:
+    if count == 1 or size < 1:  # groups without records take nothing, all go to the same part
         best = max(range(len(lacks)), key=lambda i: lacks[i])
-        return [int(i == best) for i in range(len(lacks))]
+        return [count * (i == best) for i in range(len(lacks))]
     above = lambda v: [max(0, (x - v) // size + 1) for x in lacks]  # noqa: E731 - places at v or higher
     low, high = min(lacks) - size * count, max(lacks)
     while low < high:

@@ -71,22 +71,23 @@ def predictions_sql(leaky: bool = False, name: str = "pred") -> str:
   from {name}_rows r left join {name}_zones z using (zone) cross join {name}_whole w {join})"""
 
 
-def group_split_sql(source: str, shares: dict[str, float] | str, name: str = "placed", seed: int = SEED) -> str:
+def group_split_sql(source: str, shares: dict[str, float] | str, name: str = "placed", seed: int = SEED, held: str = "(select null::varchar as split, 0 as n)") -> str:
     """Recursive SQL of whole groups into shares, one group after the other: the largest goes first, each
     to the part that then lacks most, the first named on ties. Of groups of one size, those first
     in the fixed random order get the part named first.
 
-    `source` is a relation (component, n); `shares` are numbers, or a relation (k, split, share).
+    `source` is a relation (component, n); `shares` are numbers, or a relation (k, split, share);
+    `held` (split, n) is what the parts have already.
     """
     if not isinstance(shares, str):
         shares = "(" + " union all ".join(f"select {k} as k, '{s}' as split, {x!r}::double as share" for k, (s, x) in enumerate(shares.items())) + ")"
     most = "list_position(lacks, list_max(lacks))"
     return f"""{name}_src as (select cast(component as varchar) component, n::bigint as n from {source}),
-{name}_tot as (select coalesce(sum(n), 0)::double as total from {name}_src),
-{name}_sh as (select any_value(total) as total, list(split order by k) as names, list(share order by k) as sh, sum(share order by k) as whole from {shares}, {name}_tot),
+{name}_tot as (select (coalesce(sum(n), 0) + (select coalesce(sum(n), 0) from {held}))::double as total from {name}_src),
+{name}_sh as (select any_value(total) as total, list(split order by k) as names, list(share order by k) as sh, sum(share order by k) as whole, list(coalesce(h.n, 0)::bigint order by k) as has from {shares} s left join {held} h using (split), {name}_tot),
 {name}_order as (select component, n, row_number() over (order by n desc, component) as k from {name}_src),
 {name}_walk as (
-  select 0::bigint as k, 0::bigint as n, 0 as pick, list_transform(sh, lambda x: round_even(x / whole * total * 1000, 0)::bigint) as lacks from {name}_sh
+  select 0::bigint as k, 0::bigint as n, 0 as pick, list_transform(sh, lambda x, i: round_even(x / whole * total * 1000, 0)::bigint - 1000 * has[i]) as lacks from {name}_sh
   union all
   select b.k, b.n, {most}, list_transform(lacks, lambda x, i: case when i = {most} then x - b.n * 1000 else x end) from {name}_walk w join {name}_order b on b.k = w.k + 1),
 {name}_picks as (select n, pick, row_number() over (partition by n order by pick) as nth from {name}_walk where k > 0),
