@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import write_between
@@ -17,35 +18,58 @@ INVISIBLE = (
 )
 #: Single blanks other than the space.
 BLANKS = "\t" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
-#: Letters of other scripts that look like a Latin letter, by that letter.
-LOOKALIKES = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
-    "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "µ": "μ",
-    "‐": "-", "‑": "-",
-}
+#: Look-alikes beside the published letters, by the form kept.
+LOOKALIKES = {"Ԛ": "Q", "ӏ": "l", "µ": "μ", "‐": "-", "‑": "-"}
+#: Letters that the published data joins with a Latin one though a reader tells them
+#: apart: without a dot, of another build, without a bar, of another height.
+TOLD_APART = "ıɩɪιꙇͺɑαɣγʏᶌỿყσſẝքƽƍгᴦꭇꭈꮁɯʋυտⴹƖǀƦɾ"
 #: One sign for several characters that look the same.
 LIGATURES = {"ﬃ": "ffi", "ﬄ": "ffl", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "℃": "°C", "℉": "°F", "…": "..."}
 
 
+@lru_cache
+def published_letters() -> tuple[str, dict[str, str]]:
+    """Version of the Unicode data, and the letters that look like a Latin one, by that letter.
+
+    They are the confusables that the Unicode consortium publishes, as the library behind
+    Spark's collations holds them: single letters and Roman numerals whose skeleton is that
+    of a Latin letter of the same case, written from left to right, but for those that a
+    reader tells apart. Digits, signs and Latin letters among each other stay as they are.
+    """
+    icu = SparkSession.active().sparkContext._jvm.com.ibm.icu
+    skeletons = lambda chars: dict(zip(chars, checker.getSkeleton("\n".join(chars)).split("\n")))  # noqa: E731 - one call for all
+    checker = getattr(icu.text, "SpoofChecker$Builder")().build()
+    plain: dict[str, list[str]] = {}
+    for letter, skeleton in skeletons([c for c in map(chr, range(65, 123)) if c.isalpha()]).items():
+        plain.setdefault(skeleton, []).append(letter)
+    others = [c for c in map(chr, (*range(0x80, 0x3000), *range(0xA000, 0xAC00))) if unicodedata.category(c) in ("Lu", "Ll", "Lo", "Nl") and unicodedata.bidirectional(c) == "L" and c not in TOLD_APART]
+    found = {}
+    for c, skeleton in skeletons(others).items():
+        fits = [x for x in plain.get(skeleton, []) if c.isupper() == x.isupper() or not (c.isupper() or c.islower())]
+        if fits:
+            found[c] = fits[0]  # capitals first: a letter without case looks like one
+    return icu.lang.UCharacter.getUnicodeVersion().toString(), found
+
+
+@lru_cache
 def character_map() -> dict[str, str]:
     """Each character that has another look-alike form, by the form kept.
 
-    Made from the fixed values and two rules: wide (and half-width) forms become ordinary
-    ones, and a letter with accents follows its base letter.
+    Made from the published letters, the fixed values and two rules: wide, half-width and
+    other type-face forms become ordinary ones, and a letter with accents follows its base
+    letter.
     """
-    made = dict.fromkeys(BLANKS, " ") | LOOKALIKES
-    for code in range(0xFF01, 0xFFEF):
+    letters = published_letters()[1] | LOOKALIKES
+    made = dict.fromkeys(BLANKS, " ") | letters
+    for code in (*range(0x2100, 0x2150), *range(0xFF01, 0xFFEF), *range(0x1D400, 0x1D800)):
+        kind = unicodedata.decomposition(chr(code)).partition(" ")[0]
         plain = unicodedata.normalize("NFKC", chr(code))
-        if len(plain) == 1 and plain != chr(code):
-            made[chr(code)] = made.get(plain, plain)
+        if kind in ("<font>", "<wide>", "<narrow>") and len(plain) == 1:
+            made[chr(code)] = letters.get(plain, plain)
     for code in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
         parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) > 1 and parts[0] in LOOKALIKES:
-            whole = unicodedata.normalize("NFC", LOOKALIKES[parts[0]] + parts[1:])
+        if len(parts) > 1 and parts[0] in letters:
+            whole = unicodedata.normalize("NFC", letters[parts[0]] + parts[1:])
             if len(whole) == 1:
                 made[chr(code)] = whole
     return made

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,6 +14,18 @@ from pyspark.sql import functions as F
 #: Values in one buffer. On n values the rank error is at most n * log2(n / K) / (2 * K).
 K = 1024
 
+#: Values that a task holds in summaries before it hands them on (32 MB).
+HELD = 1 << 22
+
+
+def buffer_size(epsilon: float, n: int) -> int:
+    """The least power of two as K with which percentiles of up to `n` values are off by at most `epsilon` of all ranks."""
+    k = 2
+    while n > k and math.log2(n / k) / (2 * k) > epsilon:
+        k *= 2
+    return k
+
+
 #: A summary as columns: number of values, bound of the rank error, values of weight 1 that
 #: fill no buffer, and the buffers with the binary logarithms of their weights.
 SUMMARY = "n long, err long, tail array<double>, levels array<int>, buffers array<array<double>>"
@@ -66,6 +79,9 @@ class Summary:
             self._carry(int(level), buffer)
         self._push(tail)
 
+    def kept(self) -> int:
+        return self.tail_size + self.k * len(self.levels)
+
     def row(self) -> tuple:
         levels = sorted(self.levels)
         tail = np.sort(np.concatenate(self.tail)) if self.tail else np.zeros(0)
@@ -107,25 +123,42 @@ def _bounds(keys: list[pa.Array]) -> np.ndarray:
 
 
 def _from_values(keys: list[str], k: int):
-    """Batches of keys and values to one summary for each key in a batch."""
+    """Batches of keys and values to one summary for each key of a task.
+
+    Keys are held until they hold HELD values together, then handed on; a frequent key is
+    collapsed while it is held, so it costs k * (1 + log2(n / k)) values however many it has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Summary] = {}
+        types: list[pa.DataType] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            names, rows = list(held), [s.row() for s in held.values()]
+            fields = [pa.array([n[i] for n in names], types[i]) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*fields, *_summary_arrays(rows)], names=[*keys, "n", "err", "tail", "levels", "buffers"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in (*keys, "value")]).combine_chunks()
+            types = [batch.schema.field(c).type for c in keys]
+            table = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in keys]).combine_chunks()
             columns = [table[c].chunk(0) if table[c].num_chunks else pa.array([], table[c].type) for c in keys]
-            values = table["value"].to_numpy()
-            edges, rows = _bounds(columns), []
-            for a, b in zip(edges, edges[1:]):
-                if b - a < k:
-                    rows.append((b - a, 0, values[a:b], [], []))
-                else:
-                    s = Summary(k)
-                    s.add(values[a:b])
-                    rows.append(s.row())
+            values, edges = table["value"].to_numpy(), _bounds(columns)
             firsts = pa.array(edges[:-1])
-            yield pa.RecordBatch.from_arrays([*(c.take(firsts) for c in columns), *_summary_arrays(rows)], names=[*keys, "n", "err", "tail", "levels", "buffers"])
+            for name, a, b in zip(zip(*(c.take(firsts).to_pylist() for c in columns)), edges, edges[1:]):
+                s = held.get(name)
+                if s is None:
+                    s = held[name] = Summary(k)
+                before = s.kept()
+                s.add(values[a:b])
+                size += s.kept() - before
+            if size > HELD:
+                yield out()
+                held, size = {}, 0
+        if held:
+            yield out()
 
     return run
 
@@ -177,13 +210,16 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", " + SUMMARY
 
 
-def summarise(df: DataFrame, keys: list[str], value: str, k: int = K, salts: int = 32) -> DataFrame:
+def summarise(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFrame:
     """(keys, n, err, tail, levels, buffers): one summary for each key of `df`.
 
-    Each batch of a task is summarised where it is read; the summaries of a key meet first
-    by a salt, then across salts, always two buffers at a time, so that no task sees more
-    than its share of a frequent key. Null and NaN values are left out; a null key is a key.
+    Each task brings the values of a key down to one summary as it reads them; the summaries
+    of a key meet first by a salt, as many as there are shuffle partitions, then across
+    salts, always two buffers at a time, so that no task sees more than its share of a
+    frequent key. Null and NaN values are left out; a null key is a key. The rank error is at
+    most n * log2(n / k) / (2 * k) (`buffer_size` gives k for a wanted error), and counted.
     """
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("value"))
     schema = _schema(rows, keys)
     first = rows.mapInArrow(_from_values(keys, k), schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))

@@ -16,7 +16,7 @@ from .overlap import cross_split_pairs, overlap_counts
 from .packing import pack_all
 from .percentiles import combine, percentiles, summarise
 from .sql import SQL  # noqa: F401
-from .splits import assign_components, present_table, read_shares, split_name, station_number
+from .splits import assign_components, linked_members, present_table, read_shares, split_name, station_number
 from .tokenizer import VOCABULARIES, count_tokens, encode_column
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -117,6 +117,20 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return sp.join(done.members.select("member", "component", "split"), "member").select("_row", "image_id", "station_no", "component", "split")
 
 
+def p3_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """(station_no, component, split, status) after two runs: the first places the stations of the even
+    rows and writes its table; the second reads that table, gets the stations of all rows and, as
+    links, the stations that share a photo. Components keep their split, new ones fill what is
+    lacking, and those that links bring together out of different splits are quarantined."""
+    shares = read_shares(read_table(spark, d, "split_shares"))
+    sp = write_between(_sp(spark, d).where(F.col("station_no").isNotNull()).select("_row", "image_id", F.col("station_no").cast("string").alias("member")), "stations")
+    sizes = lambda df: df.groupBy("member").agg(F.count("*").alias("n"))
+    table = write_between(assign_components(sizes(sp.where("_row % 2 = 0")), shares).members, "table")
+    links = linked_members(sp, "image_id")
+    done = assign_components(sizes(sp), shares, links=links, table=table).members
+    return done.select(F.col("member").cast("long").alias("station_no"), "component", "split", "status")
+
+
 def _photos(spark: SparkSession, d: str) -> DataFrame:
     """One row per photo and split that it stands in."""
     sp = _sp(spark, d).where(F.col("split").isNotNull()).select(F.col("_row").alias("row"), F.col("image_id").alias("sp_image"), "station_no", "split").distinct()
@@ -148,6 +162,22 @@ def p8_packs(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(pack_name, overfull, apart, broken, slack_ok): per capacity what must hold of any packing:
+    no pack over its capacity, the parts of each text one after the other, only texts beyond the
+    capacity divided, and no more packs than full ones and a hundredth more."""
+    packs = write_between(p8_packs(spark, d), "packs")
+    loads = packs.groupBy("pack_name", "capacity", "pack_id").agg(F.sum("n_tokens").alias("load"))
+    held = loads.groupBy("pack_name", "capacity").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull"), F.count_if(F.col("load") > 0).alias("used"), F.sum("load").alias("tokens"))
+    texts = packs.groupBy("pack_name", "capacity", "doc_id").agg(
+        F.count("*").alias("parts"), F.count_distinct("part").alias("different"), F.max("part").alias("last"), F.sum("n_tokens").alias("size"), F.max(F.col("start") + F.col("n_tokens")).alias("end"),
+    )
+    apart = (F.col("parts") != F.col("different")) | (F.col("last") != F.col("parts") - 1) | (F.col("end") != F.col("size"))
+    told = texts.groupBy("pack_name").agg(F.count_if(apart).alias("apart"), F.count_if((F.col("parts") > 1) & (F.col("size") <= F.col("capacity"))).alias("broken"))
+    slack = F.col("used") <= F.ceil(1.01 * F.col("tokens") / F.col("capacity")) + 1
+    return held.join(told, "pack_name").select("pack_name", "overfull", "apart", "broken", slack.alias("slack_ok"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(read_table(spark, d, "documents")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
@@ -158,6 +188,6 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_percentiles, p2_day_percentiles, p2_bounds, p2_day_summaries, p3_found, p3_splits, p5_found, p5_counts, p7_ids, p8_packs, p9_found, p9_canonical)
+    for f in (p2_percentiles, p2_day_percentiles, p2_bounds, p2_day_summaries, p3_found, p3_splits, p3_incremental, p5_found, p5_counts, p7_ids, p8_packs, p8_checks, p9_found, p9_canonical)
 }
 

@@ -53,11 +53,11 @@ def assign_components(sizes: DataFrame, shares: dict[str, float], links: DataFra
 
     Components merge by pointer jumping. A component that holds parts of earlier ones of one
     split keeps that split; one whose earlier parts have different splits is a conflicting
-    merge and is quarantined (split null), so that nothing moves silently; the others are new
-    and fill what each split lacks of its share of all records: the large ones one by one
-    into the split that lacks most, the rest along a fixed random order cut where the shares
-    are reached. Shares are scaled to sum 1. Null members are left out; an empty table gives
-    no rows.
+    merge and is quarantined (split null), so that nothing moves silently, and stays so in
+    later runs; the others are new
+    and fill what each split lacks of its share of all records, the largest first, each into
+    the split that then lacks most. Shares are scaled to sum 1. Null members are left out; an
+    empty table gives no rows.
     """
     sizes = sizes.where(F.col("member").isNotNull()).groupBy("member").agg(F.sum("n").alias("n"))
     if table is not None:
@@ -84,20 +84,31 @@ def assign_components(sizes: DataFrame, shares: dict[str, float], links: DataFra
 
     known = members.groupBy("component").agg(F.sum("n").alias("n"))
     if earlier is not None:
-        had = earlier.where(F.col("split").isNotNull()).select(F.col("component").alias("home"), "split").join(roots, "home")
-        had = had.groupBy("component").agg(F.min("split").alias("low"), F.max("split").alias("high"))
+        had = earlier.select(F.col("component").alias("home"), "split").join(roots, "home")
+        had = had.groupBy("component").agg(F.min("split").alias("low"), F.max("split").alias("high"), F.max(F.col("split").isNull()).alias("out"))
         known = known.join(had, "component", "left")
     else:
-        known = known.withColumns({"low": F.lit(None).cast("string"), "high": F.lit(None).cast("string")})
-    known = write_between(known, "components")
-    kept = known.where(F.col("low") == F.col("high")).select("component", "n", F.col("low").alias("split"), F.lit("kept").alias("status"))
-    clash = known.where(F.col("low") != F.col("high")).select("component", "n", F.lit(None).cast("string").alias("split"), F.lit("quarantined").alias("status"))
+        known = known.withColumns({"low": F.lit(None).cast("string"), "high": F.lit(None).cast("string"), "out": F.lit(False)})
+    known = write_between(known.withColumn("out", F.coalesce(F.col("out"), F.lit(False)) | F.coalesce(F.col("low") != F.col("high"), F.lit(False))), "components")
+    kept = known.where(~F.col("out") & F.col("low").isNotNull()).select("component", "n", F.col("low").alias("split"), F.lit("kept").alias("status"))
+    clash = known.where("out").select("component", "n", F.lit(None).cast("string").alias("split"), F.lit("quarantined").alias("status"))
     held = {r["split"]: r["n"] for r in kept.groupBy("split").agg(F.sum("n").alias("n")).collect()}  # one row a split
-    new = fill_shares(known.where(F.col("low").isNull()).select("component", "n"), shares, held).withColumn("status", F.lit("new"))
+    new = fill_shares(known.where(~F.col("out") & F.col("low").isNull()).select("component", "n"), shares, held).withColumn("status", F.lit("new"))
     placed = kept.unionByName(clash).unionByName(new).drop("n")
     return Assignment(members.join(placed, "component").select("member", "component", "split", "status"))
 
 
+def linked_members(records: DataFrame, shared: str) -> DataFrame:
+    """(a, b): links that bring together all members which have a value of `shared` in common.
+
+    Each member is linked to the lowest of its value, so a value that many members share costs
+    a link for each, not for each pair. Nulls link nothing.
+    """
+    held = records.where(F.col("member").isNotNull() & F.col(shared).isNotNull()).select("member", shared).distinct()
+    lowest = held.groupBy(shared).agg(F.min("member").alias("b"))
+    return held.join(lowest, shared).where(F.col("member") != F.col("b")).select(F.col("member").alias("a"), "b").distinct()
+
+
 def read_shares(shares: DataFrame) -> dict[str, float]:
     """The proportions, a row a split."""
     return {r["split"]: r["share"] for r in shares.select("split", "share").orderBy(F.desc("share"), "split").collect()}

