@@ -80,6 +80,15 @@ def category(x: Column) -> Column:
     return out
 
 
+#: The colours of the categories, in their order.
+COLOURS = ("#00e400", "#ffff00", "#ff7e00", "#ff0000", "#8f3f97", "#7e0023")
+
+
+def category_colour(x: Column) -> Column:
+    """The colour that stands for the category of an index; null for null."""
+    return F.get(F.array(*map(F.lit, COLOURS)), category_index(x))
+
+
 def band(x: Column, edges: tuple[float, ...] = BAND_EDGES) -> Column:
     """0 to 5 by lower edges: 50 is in band 1. Null for null and NaN."""
     out = F.when(x.isNull() | F.isnan(x), None)

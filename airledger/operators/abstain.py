@@ -96,6 +96,28 @@ def ood_metrics(scores: DataFrame, score: str, is_ood: str) -> DataFrame:
     )
 
 
+def ood_summary(scores: DataFrame, score: str, kind: str) -> DataFrame:
+    """(subset, ...): `ood_metrics` of all foreign rows, and of the near and the far ones, against the
+    familiar rows. `kind` is id, near or far; a subset without foreign rows has no row."""
+    known = {r[0] for r in scores.select(kind).distinct().collect()}  # at most the three kinds
+    out = None
+    for name, kinds in (("all", ("near", "far")), ("near", ("near",)), ("far", ("far",))):
+        if known & set(kinds):
+            rows = scores.where(F.col(kind).isin("id", *kinds)).withColumn("__ood", F.col(kind) != "id")
+            one = ood_metrics(rows, score, "__ood").select(F.lit(name).alias("subset"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out if out is not None else ood_metrics(scores.limit(0).withColumn("__ood", F.lit(True)), score, "__ood").select(F.lit("all").alias("subset"), "*").limit(0)
+
+
+def station_shift(holdout: DataFrame, unseen: DataFrame, score: str, budget: float = 0.05) -> DataFrame:
+    """One row (tau, holdout_rate, unseen_rate, excess): the threshold that `budget` of the held-out rows of
+    known stations pass, how many of these and of unseen stations are refused by it, and the excess."""
+    tau = ood_threshold(holdout, score, budget).select("tau")
+    rate = lambda df, name: df.join(F.broadcast(tau), how="cross").agg(refuse_rate(F.col(score), F.col("tau")).alias(name))  # noqa: E731 - one row
+    one = tau.join(F.broadcast(rate(holdout, "holdout_rate")), how="cross").join(F.broadcast(rate(unseen, "unseen_rate")), how="cross")  # one row each
+    return one.withColumn("excess", F.col("unseen_rate") - F.col("holdout_rate"))
+
+
 def knn_distance(queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 5, block: int = 256) -> DataFrame:
     """(key, distance): distance of each query to its k-th nearest reference row (the farthest, if
     there are fewer). A query that stands in the reference finds itself at 0.

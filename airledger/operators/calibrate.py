@@ -143,6 +143,12 @@ def ensemble_mean(members: DataFrame, key: str, columns: list[str]) -> DataFrame
     return members.groupBy(key).agg(*(F.exp(F.avg(F.log(c))).alias(c) for c in columns))
 
 
+def averaged_outputs(outputs: DataFrame, keys: list[str], logs: list[str], plain: list[str]) -> DataFrame:
+    """One row per `keys` of the outputs of several members, or of a picture and its mirror image: quantiles
+    (`logs`) are averaged as logarithms, points (`plain`) as they are."""
+    return outputs.groupBy(*keys).agg(*(F.exp(F.avg(F.log(c))).alias(c) for c in logs), *(F.avg(c).alias(c) for c in plain))
+
+
 def cosine_warmup(epoch: Column, warmup: int, most: int) -> Column:
     """Learning-rate factor: a straight rise, then half a cosine down to 0."""
     share = (epoch - warmup) / float(max(1, most - warmup))

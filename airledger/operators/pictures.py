@@ -74,13 +74,17 @@ def erode(x: np.ndarray, patch: int) -> np.ndarray:
     return view(np.pad(rows, ((half, half), (0, 0)), constant_values=np.inf), patch, axis=0).min(-1)
 
 
+def haze_colour(rgb: np.ndarray, dark: np.ndarray, top_share: float) -> np.ndarray:
+    """As `atmospheric_light`: rows (dark, brightness, place) are ordered twice; ties go to the first in reading order."""
+    place = np.arange(dark.size)
+    haziest = np.lexsort((place, -dark.ravel()))[: max(1, int(dark.size * top_share))]
+    brightness = rgb.sum(2).ravel()[haziest]
+    y, x = np.unravel_index(haziest[np.lexsort((haziest, -brightness))[0]], dark.shape)
+    return rgb[y, x].clip(1e-3, 1.0)
+
+
 def transmission(rgb: np.ndarray, patch: int = 15, omega: float = 0.95, top_share: float = 0.001, least: float = 0.05) -> np.ndarray:
-    dark = erode(rgb.min(2), patch)
-    n = max(1, int(dark.size * top_share))
-    top = np.argsort(-dark.ravel(), kind="stable")[:n]
-    top = np.sort(top) if n > 1 else top
-    colours = rgb.reshape(-1, 3)[top]
-    light = np.clip(colours[colours.sum(1).argmax()], 1e-3, 1.0)
+    light = haze_colour(rgb, erode(rgb.min(2), patch), top_share)
     return np.clip(1 - omega * erode((rgb / light).min(2), patch), least, 1.0)
 
 
@@ -161,6 +165,73 @@ def five_channel_table(pictures: DataFrame, size: int = 32, patch: int = 15) ->
     return pictures.where(F.col("rgb").isNotNull() & (F.size("rgb") == F.col("height") * F.col("width") * 3)).select("image", "height", "width", "rgb").mapInPandas(run, f"image {kind}, tensor array<float>")
 
 
+def float_rgb(x: np.ndarray) -> np.ndarray:
+    """A picture as height x width x 3 in [0, 1]: values over 1 mean steps of 255, a gray one gets three channels."""
+    x = np.asarray(x, dtype=np.float64)
+    x = x / 255 if x.size and x.max() > 1 else x
+    return np.repeat(x[:, :, None], 3, axis=2) if x.ndim == 2 else x
+
+
+def five_channel_cached(pictures: DataFrame, cached: DataFrame, size: int = 32) -> DataFrame:
+    """(image, tensor) with the two maps taken from the cache (image, maps) by the picture's key.
+
+    The cache is checked first: LookupError if a picture has no maps there, ValueError if maps
+    have another size.
+    """
+    if not pictures.join(cached.select("image"), "image", "left_anti").isEmpty():
+        raise LookupError("a picture has no maps in the cache")
+    if not cached.where(F.octet_length("maps") != 2 * size * size).isEmpty():
+        raise ValueError(f"the cached maps aren't {size} x {size}")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for image, h, w, flat, maps in zip(*(pdf[c] for c in ("image", "height", "width", "rgb", "maps"))):
+                t, s = np.frombuffer(maps, np.uint8).reshape(2, size, size) / 255.0
+                rows.append((image, five_channels(resize(np.asarray(flat, dtype=float).reshape(h, w, 3), size), t, s).ravel().astype(np.float32)))
+            yield pd.DataFrame(rows, columns=["image", "tensor"])
+
+    both = pictures.where(F.col("rgb").isNotNull()).join(cached.where(F.col("maps").isNotNull()).select("image", "maps"), "image")
+    return both.select("image", "height", "width", "rgb", "maps").mapInPandas(run, f"image {dict(pictures.dtypes)['image']}, tensor array<float>")
+
+
+def moved(x: np.ndarray, flip: bool, angle: float, top: float, left: float, height: float, width: float) -> np.ndarray:
+    """Channels x side x side: mirrored, turned by `angle` degrees about the middle (0 outside), and the window
+    (shares of the side) cut out and brought back to the full size, bilinearly in one step."""
+    side = x.shape[1]
+    at = (np.arange(side) + 0.5) / side
+    v, u = np.meshgrid(top + height * at - 0.5, left + width * at - 0.5, indexing="ij")
+    c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+    v, u = c * v - s * u, s * v + c * u
+    u = -u if flip else u
+    row, col = (v + 0.5) * side - 0.5, (u + 0.5) * side - 0.5
+    inside = (row > -0.5) & (row < side - 0.5) & (col > -0.5) & (col < side - 0.5)
+    row, col = np.clip(row, 0, side - 1), np.clip(col, 0, side - 1)
+    r0, c0 = np.floor(row).astype(int), np.floor(col).astype(int)
+    r1, c1 = np.minimum(r0 + 1, side - 1), np.minimum(c0 + 1, side - 1)
+    a, b = row - r0, col - c0
+    out = (1 - a) * ((1 - b) * x[:, r0, c0] + b * x[:, r0, c1]) + a * ((1 - b) * x[:, r1, c0] + b * x[:, r1, c1])
+    return np.where(inside, out, 0.0)
+
+
+def augmented(tensors: DataFrame, size: int, epoch: int = 0, seed: int = 42, degrees: float = 8.0, scale: tuple[float, float] = (0.85, 1.0), ratio: tuple[float, float] = (0.9, 1.1)) -> DataFrame:
+    """(image, tensor): each picture moved at random, all channels together; the same for the same image, epoch and seed."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for image, key, flat in zip(pdf["image"], pdf["key"], pdf["tensor"]):
+                rng = np.random.default_rng(int(key, 16))
+                area, shape = rng.uniform(*scale), np.exp(rng.uniform(*np.log(ratio)))
+                h, w = min(1.0, np.sqrt(area / shape)), min(1.0, np.sqrt(area * shape))
+                x = moved(np.asarray(flat, dtype=float).reshape(-1, size, size), rng.random() < 0.5, rng.uniform(-degrees, degrees), rng.uniform(0, 1 - h), rng.uniform(0, 1 - w), h, w)
+                rows.append((image, x.ravel().astype(np.float32)))
+            yield pd.DataFrame(rows, columns=["image", "tensor"])
+
+    key = F.substring(F.md5(F.concat_ws("|", F.col("image").cast("string"), F.lit(f"{epoch}#{seed}"))), 1, 15)
+    return tensors.select("image", key.alias("key"), "tensor").mapInPandas(run, f"image {dict(tensors.dtypes)['image']}, tensor array<float>")
+
+
 def verify_maps(cached: DataFrame, fresh: DataFrame, most: float = 6.0) -> DataFrame:
     """One row (checked, mean_abs_diff, aligned) of cached maps against fresh ones of the same pictures."""
 

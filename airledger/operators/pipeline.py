@@ -46,17 +46,22 @@ def make_splits(df: DataFrame, strategy: str = "station_grouped", shares: dict[s
 
 
 def compare_strategies(df: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
-    """(strategy, ...): the split report of each strategy."""
-    reports = [splits.split_report(make_splits(df, s)).withColumn("strategy", F.lit(s)) for s in strategies]
+    """(strategy, ...): the split report of each strategy. `shipped` is reported as it came, with its
+    straddling stations, where `make_splits` would refuse it."""
+    made = lambda s: splits.shipped_split(df) if s == "shipped" else make_splits(df, s)
+    reports = [splits.split_report(made(s)).withColumn("strategy", F.lit(s)) for s in strategies]
     return reduce(DataFrame.unionByName, reports)
 
 
 def evaluate_split(pred: DataFrame, coverage: float = 0.9, recalibrate: bool = True) -> DataFrame:
     """One row of scores of the test rows of (split, station_id, y, q05, q50, q95, point).
 
+    Rows of several members of an ensemble (column `member`, with row_id) are averaged first.
     What is fitted (isotonic knots, the conformal widening) comes from the cal rows only; without
     any, points and intervals are unknown, and so are their scores.
     """
+    if "member" in pred.columns:
+        pred = calibrate.averaged_outputs(pred, ["row_id", "split", "station_id", "y"], ["q05", "q50", "q95"], ["point"])
     cal, test = pred.where("split = 'cal'"), pred.where("split = 'test'")
     if recalibrate:
         test = calibrate.apply_fit(test, calibrate.isotonic_fit(cal, "point", "y"), "point", "point")

@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general, general_sql, pictures, reference
+from . import extras, general, general_sql, pictures, reference
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    return general.QUERIES | reference.QUERIES | pictures.QUERIES
+    return general.QUERIES | reference.QUERIES | pictures.QUERIES | extras.QUERIES
 
 
 def all_sql() -> dict[str, str]:
-    return general_sql.SQL | reference.SQL | pictures.SQL
+    return general_sql.SQL | reference.SQL | pictures.SQL | extras.SQL
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:

@@ -639,12 +639,14 @@ def _strategies_sql() -> str:
     ctes = [PHOTOS_SQL, group_split_sql(GROUPS_SQL, shares(), "ps"), group_split_sql(f"(select {CELL_SQL} as component, count(*) as n from ph group by 1)", shares(), "pg")]
     ctes += ["station_grouped as (select station_id, split from ph join ps on cast(station_id as varchar) = component)", f"geographic as (select station_id, split from ph join pg on {CELL_SQL} = component)"]
     ctes += [f"{n} as (select station_id, {cut} as split from (select station_id, row_number() over (order by {o}) as k, count(*) over () as n from ph))" for n, o in by_order.items()]
-    return f"with recursive {', '.join(ctes)} {' union all '.join(_report_sql(n, n) for n in ('station_grouped', 'random', 'geographic', 'temporal'))}"
+    ctes += [group_split_sql(SHIPPED_SQL, {"train": 0.65 / _WHOLE, "cal": 0.15 / _WHOLE}, "pp"), """shipped as (select station_id, split from ph join pp on cast(station_id as varchar) = component where orig_split is distinct from 'test'
+  union all select station_id, 'test' from ph where orig_split = 'test')"""]
+    return f"with recursive {', '.join(ctes)} {' union all '.join(_report_sql(n, n) for n in ('station_grouped', 'random', 'geographic', 'temporal', 'shipped'))}"
 
 
 @query(_strategies_sql())
 def compare_strategies(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.compare_strategies(photos(spark, d), ("station_grouped", "random", "geographic", "temporal"))
+    return pipeline.compare_strategies(photos(spark, d))
 
 
 @query(f"""{ISO_SQL}, {WIDE_SQL} select {_POINT_SQL}, round(avg(case when y >= low and y <= high then 1.0 else 0 end), 6) as coverage, round(avg(high - low), 6) as mean_width,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 NEEDED = ("q", "y_mean", "y_std", "tau_ood", "tau_width")
@@ -24,6 +26,21 @@ def load_bundle(spark: SparkSession, path: str) -> dict:
     return {"handcrafted_tau": 0.5} | json.loads(rows[0][0])
 
 
+def save_fit(spark: SparkSession, path: str, **arrays) -> None:
+    """Fitted arrays (a mean, a precision matrix) as one row each: (name, shape, values)."""
+    rows = [(name, list(np.shape(x)), np.asarray(x, dtype=float).ravel().tolist()) for name, x in arrays.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_fit(spark: SparkSession, path: str) -> dict[str, np.ndarray] | None:
+    """The arrays that `save_fit` wrote, or None where there are none."""
+    try:
+        rows = spark.read.parquet(path).collect()
+    except AnalysisException:
+        return None
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in rows}
+
+
 def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
     """A report as CSV with a header, or JSON lines."""
     writer = df.write.mode("overwrite")

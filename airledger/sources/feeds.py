@@ -8,6 +8,7 @@ import time
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,3 +117,41 @@ def match_folder(folder: Column, keywords: dict[str, tuple[str, ...]]) -> Column
             hit = hit | name.contains(word)
         out = F.when(hit, kind).otherwise(out)
     return out
+
+
+def find_folders(
+    tree: DataFrame,
+    keywords: dict[str, tuple[str, ...]],
+    signatures: dict[str, tuple[str, ...]] | None = None,
+    least_hits: int = 2,
+    decoys: tuple[str, ...] = (),
+    dark: tuple[str, DataFrame, float] | None = None,
+) -> DataFrame:
+    """(name, folder, found_by): the folder of each named set in a tree (folder, files) of `folder_rollup`.
+
+    By `keyword`: one of the set's words stands in the folder's own name; the highest such
+    folder, of those the one with most files. Else by `signature`: most of its subfolders,
+    `least_hits` at least, are named by one of the set's words. Else, for the set named in `dark`,
+    by `darkness`: the highest folder without any set's keyword whose mean brightness in the
+    table (folder, brightness) lies under the limit. Paths with a decoy's word are left out;
+    ties go to the first path. A set that isn't found has no row.
+    """
+    low = F.lower("folder")
+    parts = F.split(low, "/")
+    named = lambda words, column: reduce(lambda a, b: a | b, (column.contains(w) for w in words), F.lit(False))
+    base = tree.where((F.col("files") > 0) & ~named(decoys, low)).select("folder", "files", F.element_at(parts, -1).alias("own"), F.size(parts).alias("depth"), F.regexp_replace("folder", "/[^/]*$", "").alias("parent"))
+    out = None
+    for name, words in keywords.items():
+        by = [base.where(named(words, F.col("own"))).select(F.lit(0).alias("way"), F.lit("keyword").alias("found_by"), "folder", F.struct("depth", -F.col("files"), "folder").alias("order"))]
+        if signatures and name in signatures:
+            hits = tree.where(named(signatures[name], F.lower(F.element_at(F.split("folder", "/"), -1)))).select(F.regexp_replace("folder", "/[^/]*$", "").alias("parent")).groupBy("parent").agg(F.count("*").alias("hits"))
+            kin = base.select("folder").join(hits.withColumnRenamed("parent", "folder"), "folder").where(F.col("hits") >= least_hits)
+            by.append(kin.select(F.lit(1).alias("way"), F.lit("signature").alias("found_by"), "folder", F.struct((-F.col("hits")).cast("int").alias("depth"), F.lit(0).cast("long"), "folder").alias("order")))
+        if dark and dark[0] == name:
+            every = tuple(w for ws in keywords.values() for w in ws)
+            dim = base.where(~named(every, F.col("own"))).join(dark[1].where(F.col("brightness") < dark[2]), "folder")
+            by.append(dim.select(F.lit(2).alias("way"), F.lit("darkness").alias("found_by"), "folder", F.struct("depth", F.round(F.col("brightness") * 1e9).cast("long"), "folder").alias("order")))
+        both = reduce(DataFrame.union, by)
+        one = both.groupBy().agg(F.min_by(F.struct("folder", "found_by"), F.struct("way", "order")).alias("x")).where("x is not null").select(F.lit(name).alias("name"), "x.folder", "x.found_by")
+        out = one if out is None else out.unionByName(one)
+    return out
