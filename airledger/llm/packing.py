@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import write_between
 
-#: Groups in which items of one size are numbered.
-BUCKETS = 256
+#: Items of one size are numbered in groups of about so many, 256 groups at least.
+GROUPED = 1 << 16
 
 
 def fill_one(capacity: int, sizes: list[int], counts: list[int]) -> list[tuple[int, int]]:
@@ -115,13 +115,14 @@ def pack_items(items: DataFrame, capacity: int, key: str = "doc_id", size: str =
     sized = items.select(F.col(key).alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("whole"))
     rest = sized.select("key", "whole", F.pmod("whole", F.lit(capacity)).alias("rest"))
     histogram = {r["rest"]: r["c"] for r in rest.groupBy("rest").agg(F.count("*").alias("c")).collect()}  # at most `capacity` rows
+    groups_of = max(256, sum(histogram.values()) // GROUPED)
     plan = plan_containers(capacity, {s: c for s, c in histogram.items() if s})
     planned = sum(repeats for repeats, _ in plan)
     spread = spark.sparkContext.broadcast(places_of(plan))
 
-    numbered = rest.where("rest > 0").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    numbered = rest.where("rest > 0").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(groups_of)))
     groups = numbered.groupBy("rest", "bucket").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
+    before = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a group
     groups = groups.select("rest", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("rest", "bucket").orderBy("key")) - 1
     numbered = numbered.withColumn("inside", inside).join(groups, ["rest", "bucket"]).select("key", "whole", "rest", (F.col("offset") + F.col("inside")).alias("number"))
@@ -136,9 +137,9 @@ def pack_items(items: DataFrame, capacity: int, key: str = "doc_id", size: str =
     )
     large = rest.where(F.col("whole") >= capacity).withColumn("pieces", F.call_function("div", "whole", F.lit(capacity)))
     before = Window.partitionBy("group").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    large = large.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    large = large.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups_of)))
     offsets = large.groupBy("group").agg(F.sum("pieces").alias("p"))
-    over_groups = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
+    over_groups = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # one row a group
     offsets = offsets.select("group", (F.coalesce(F.sum("p").over(over_groups), F.lit(0)) + planned).alias("offset"))
     large = large.withColumn("inside", F.coalesce(F.sum("pieces").over(before), F.lit(0))).join(offsets, "group")
     full = large.select("key", (F.col("offset") + F.col("inside")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("part")).select(
