@@ -7,7 +7,7 @@ from ..plans.views import group_split_sql
 
 # Fixed values, stated here once more so that the SQL stands on its own.
 WIDE_DIGITS = "０１２３４５６７８９"
-CYRILLIC, AS_LATIN = "АВЕКМНОРСТХІЈЅаеорсухіјѕ", "ABEKMHOPCTXIJSaeopcyxijs"
+CYRILLIC, AS_LATIN = "АВЕКМНОРСТХІЈЅаеорсухіјѕЁёЇї", "ABEKMHOPCTXIJSaeopcyxijsËëÏï"
 GREEK, GREEK_AS_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρόµ", "ABEZHIKMNOPTYXovpóμ"
 WIDE, ORDINARY = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
 SPACES = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
